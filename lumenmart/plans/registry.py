@@ -7,7 +7,7 @@ from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenmart.session import tune
+from lumenmart.session import stage, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,14 @@ def query(name: str, oracle: Optional[str] = None):
     return register
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def forget_shared() -> None:
+    """Drop intermediate tables kept for reuse between queries."""
+    _SHARED.clear()
+
+
 class Tables:
     """Lazy parquet scans of one data folder."""
 
@@ -41,3 +49,10 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def shared(self, name: str, build: Callable[["Tables"], DataFrame]) -> DataFrame:
+        """An intermediate table written once per session and data folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _SHARED:
+            _SHARED[key] = stage(build(self))
+        return _SHARED[key]
