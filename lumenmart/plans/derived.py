@@ -63,7 +63,7 @@ OBS = [
     ("original_box_available", "case when l_quantity > 25 then true else false end"),
     ("return_days", "case when l_linenumber <= 2 then 30 when l_linenumber <= 4 then 14 when l_linenumber = 5 then 0 else null end"),
     ("transferable", "case when l_linenumber <= 3 then true else null end"),
-    ("seller_score", "case when s_acctbal < 0 then cast(-1 as double) else sqrt(s_acctbal) end"),
+    ("seller_score", "sqrt(abs(s_acctbal))"),
     ("category", "case when p_type in ('STANDARD', 'MEDIUM', 'PROMO') then 'Camera' when p_type = 'SMALL' then 'Cinema Lens' else 'Lens' end"),
     ("liquidity_score", "case when p_size = 50 then null else cast(p_size * 2 as double) end"),
     ("catalog_price_used", "p_retailprice"),
