@@ -93,7 +93,7 @@ def observations(tables: Tables) -> DataFrame:
         F.col("s_nationkey") == F.col("n_nationkey"),
     )
     flat = (
-        tables.lineitem.join(tables.part, F.col("l_partkey") == F.col("p_partkey"))
+        tables.wide("lineitem").join(tables.part, F.col("l_partkey") == F.col("p_partkey"))
         .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
         .selectExpr(*[f"{expression} as {name}" for name, expression in OBS])
     )

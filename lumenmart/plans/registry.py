@@ -7,7 +7,7 @@ from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenmart.session import stage, tune
+from lumenmart.session import spread, stage, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def wide(self, name: str) -> DataFrame:
+        """A scan spread over all cores, for work that is heavy per row."""
+        return spread(getattr(self, name))
+
     def shared(self, name: str, build: Callable[["Tables"], DataFrame]) -> DataFrame:
         """An intermediate table written once per session and data folder."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)

@@ -96,7 +96,7 @@ select 'manual' as "table", cast(doc_id as varchar) as row_key, field, rule, val
 )
 def manual_listing_contract(tables: Tables) -> DataFrame:
     """Hand-entry rules applied to every document taken as a listing."""
-    rows = tables.documents.select(
+    rows = tables.wide("documents").select(
         "doc_id", F.col("source").alias("source_name"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("text").alias("description"), F.when(F.col("lang") == "en", "EUR").otherwise(F.col("lang")).alias("currency"),
         F.upper("lang").alias("source_country"), (F.col("n_chars") - 500).alias("price"), F.lit("USED").alias("segment"),
@@ -122,7 +122,7 @@ _REJECTED_SQL = {
 )
 def private_text(tables: Tables) -> DataFrame:
     """Every kind of private data found in every document."""
-    return contracts.private_text(tables.documents, "documents", "doc_id", "text")
+    return contracts.private_text(tables.wide("documents"), "documents", "doc_id", "text")
 
 
 _C = "[A-Z0-9._%+-]*"
@@ -145,7 +145,7 @@ _PRIVATE_SQL = [
 def pii_redaction(tables: Tables) -> DataFrame:
     """Documents per source whose text changes when personal data is removed."""
     changed = text.redact(F.col("text")) != F.col("text")
-    return tables.documents.groupBy("source", "lang").agg(
+    return tables.wide("documents").groupBy("source", "lang").agg(
         F.count(F.lit(1)).alias("documents"), F.count_if(changed).alias("redacted"))
 
 
@@ -153,7 +153,7 @@ def pii_redaction(tables: Tables) -> DataFrame:
 def redacted_texts(tables: Tables) -> DataFrame:
     """Every document with personal data replaced; lookaround keeps this off the SQL twin."""
     cleaned = text.redact(F.col("text"))
-    return tables.documents.select("doc_id", cleaned.alias("text"), (cleaned != F.col("text")).alias("removed"))
+    return tables.wide("documents").select("doc_id", cleaned.alias("text"), (cleaned != F.col("text")).alias("removed"))
 
 
 @query(

@@ -64,3 +64,9 @@ def broadcast_if_small(frame: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> Da
     """Broadcast only after counting (never beyond limit + 1 rows); else leave to AQE."""
     bounded = frame.limit(limit + 1).count()
     return F.broadcast(frame) if bounded <= limit else frame
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a scan of few file splits; a scan of many splits is left as is."""
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(wanted) if scan.rdd.getNumPartitions() < wanted else scan
