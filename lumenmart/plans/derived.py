@@ -124,7 +124,7 @@ def observations(tables: Tables) -> DataFrame:
 WATCH_SQL = (
     "select cast(o_orderkey as string) as watch_id, cast(o_custkey as string) as product_id, "
     "case o_orderpriority when '1-URGENT' then 'NEW' when '2-HIGH' then 'USED' else 'EITHER' end as condition_preference, "
-    "o_totalprice / cast(100 as double) as max_price, "
+    "floor(o_totalprice / 25) / cast(4 as double) as max_price, "
     "case when o_orderpriority = '5-LOW' then 'USD' else 'EUR' end as currency, "
     "case o_orderpriority when '1-URGENT' then 'CRITICAL' when '2-HIGH' then 'HIGH' when '3-MEDIUM' then 'MEDIUM' else 'LOW' end as priority, "
     "o_orderstatus = 'O' as active, cast(o_orderdate as date) as created_on "
@@ -140,7 +140,7 @@ DECISION_SQL = (
     "select cast(o_orderkey as string) as entry_id, cast(o_custkey as string) as product_id, "
     "cast(o_orderdate as date) as created_on, "
     "case o_orderstatus when 'F' then 'BUY_USED' when 'O' then 'MONITOR' else 'PASS' end as decision, "
-    "cast(o_totalprice / 5000 as int) as decision_score, o_totalprice as observed_price from orders"
+    "cast(floor(o_totalprice / 5000) as int) as decision_score, o_totalprice as observed_price from orders"
 )
 CATALOG_SQL = (
     "select cast(p_partkey as string) as product_id, p_name, p_brand as brand, p_name as model, "
@@ -154,7 +154,7 @@ CATALOG_SQL = (
 HEALTH_SQL = (
     "select event_id, concat('source-', cast(user_id as string)) as source_id, ts as checked_at, "
     "case event_type when 'error' then 'FAILED' when 'signup' then 'DEGRADED' else 'HEALTHY' end as status, "
-    "cast(value * 10 as bigint) as response_time_ms, event_type, {count} as result_count from events"
+    "cast(floor(value * 10) as bigint) as response_time_ms, event_type, {count} as result_count from events"
 )
 
 
