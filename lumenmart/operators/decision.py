@@ -222,8 +222,8 @@ def offer_rank() -> Column:
 
 
 def warranty_months(until: Column, on: Column) -> Column:
-    """Started 30-day months of warranty left, not below zero."""
-    return F.greatest(F.lit(0), F.ceil(F.datediff(until, on) / 30)).cast("int")
+    """Started 30-day months of warranty left, not below zero; unknown stays null."""
+    return F.when(until.isNotNull(), F.greatest(F.lit(0), F.ceil(F.datediff(until, on) / 30))).cast("int")
 
 
 def with_market(listings: DataFrame, snapshots: DataFrame, offers: DataFrame) -> DataFrame:

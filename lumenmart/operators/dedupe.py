@@ -136,7 +136,7 @@ def winner_order() -> Column:
 
 def duplicates(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
     """(listing_id, component, winner_id, is_duplicate) of all grouped listings."""
-    grouped = duplicate_groups(listings, scope)
+    grouped = stage(duplicate_groups(listings, scope))
     members = listings.select(
         "listing_id", "landed_cost_estimate", "listing_quality", "evidence_count", "observed_at"
     ).join(grouped, "listing_id").withColumn("preference", winner_order())

@@ -17,6 +17,12 @@ EXCLUSION_REASONS = (
 UNKNOWN_CONDITIONS = ("unknown", "not specified")
 
 
+MARKET_COLUMNS = (
+    "listing_id", "url", "title", "source", "seller", "location", "price", "source_country", "observed_at", "evidence_count",
+    "landed_cost_estimate", "statistical_price", "listing_quality", "excluded_reason", "foreign_without_landed",
+)
+
+
 def clamp(value: Column, low: int = 0, high: int = 100) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
@@ -158,10 +164,15 @@ def accounting(rows: DataFrame, keys: Sequence[str], *extra: Column) -> DataFram
 
 
 def clean(rows: DataFrame, scope: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Duplicates then outliers. Returns (marked rows, ranked prices, fences)."""
-    deduped = stage(mark_duplicates(stage(rows), scope))
-    ranked = distribution.ranked_values(deduped.where("excluded_reason is null"), keys, "statistical_price")
-    fences = distribution.iqr_fences(ranked, keys)
+    """Duplicates then outliers. Returns (marked rows, ranked prices, fences).
+
+    Each stage feeds several branches, so it is written once; only the columns the
+    market needs are kept.
+    """
+    slim = rows.select(*dict.fromkeys([*scope, *keys, *MARKET_COLUMNS]))
+    deduped = stage(mark_duplicates(stage(slim), scope))
+    ranked = stage(distribution.ranked_values(deduped.where("excluded_reason is null"), keys, "statistical_price"))
+    fences = stage(distribution.iqr_fences(ranked, keys))
     return mark_outliers(deduped, fences, keys), ranked, fences
 
 

@@ -141,14 +141,18 @@ def recent_decisions(log: DataFrame, limit: int = 20, at: str = "created_on") ->
 def user_context(owned: DataFrame, wishes: DataFrame, log: DataFrame, catalog: DataFrame, flagged: DataFrame, target_country: Optional[str]) -> DataFrame:
     """One row of counts and gap flags about the user's tables."""
     covered = coverage(owned, catalog)
-    summary = covered.agg(
+    one = F.lit(1).alias("one")  # every side below is a single aggregate row under one key
+    summary = covered.groupBy(one).agg(
         F.max(F.when(F.col("kind") == "zoom", 1).otherwise(0)).alias("zooms"),
         F.max(F.when((F.col("kind") == "focal") & (F.col("value") == "STANDARD"), 1).otherwise(0)).alias("standard"),
         F.max(F.when(F.col("kind") == "duplicate", 1).otherwise(0)).alias("duplicates"))
-    again = flagged.agg(F.max(F.array_contains("flags", "ALREADY_OWNED").cast("int")).alias("again"))
-    counts = owned.agg(F.count_if("active").alias("active_items")).join(
-        wishes.agg(F.count_if("active").alias("active_wishes"))).join(log.agg(F.count(F.lit(1)).alias("decisions")))
-    joined = counts.join(summary).join(again)  # every side is a single aggregate row
+    again = flagged.groupBy(one).agg(F.max(F.array_contains("flags", "ALREADY_OWNED").cast("int")).alias("again"))
+    joined = owned.groupBy(one).agg(F.count_if("active").alias("active_items"))
+    for side in (
+        wishes.groupBy(one).agg(F.count_if("active").alias("active_wishes")), log.groupBy(one).agg(F.count(F.lit(1)).alias("decisions")), summary, again
+    ):
+        joined = joined.join(side, "one", "full_outer")
+    joined = joined.fillna(0)
     gaps = F.array_compact(F.array(
         F.when(F.lit(not target_country), F.lit("target market missing")),
         F.when((F.coalesce("zooms", F.lit(0)) == 0) | (F.coalesce("standard", F.lit(0)) == 0), F.lit("no standard zoom owned")),

@@ -10,6 +10,7 @@ from lumenmart.plans.market_sql import (
     confidence_sql, dedupe_sql, outlier_sql, rows_sql, snapshot_sql, statistics_sql,
 )
 from lumenmart.plans.registry import Tables, query
+from lumenmart.session import stage
 
 MARKET_KEYS = ["product_id", "currency", "segment"]
 PRODUCT_SEGMENT = ["product_id", "segment"]
@@ -151,7 +152,8 @@ def source_coverage(tables: Tables) -> DataFrame:
 )
 def near_duplicates(tables: Tables) -> DataFrame:
     """Transitive near-duplicate groups of each product with their winning listing."""
-    return dedupe.duplicates(observed_rows(tables), ["product_id"]).select("listing_id", "winner_id", "is_duplicate")
+    rows = stage(observed_rows(tables).select("product_id", *market.MARKET_COLUMNS))
+    return dedupe.duplicates(rows, ["product_id"]).select("listing_id", "winner_id", "is_duplicate")
 
 
 def _history_sql(horizons) -> str:
@@ -170,10 +172,7 @@ def _history_sql(horizons) -> str:
 
 
 def _history_query(tables: Tables, horizons) -> DataFrame:
-    snapshots = monthly_snapshots(tables)
-    from lumenmart.session import stage
-
-    snapshots = stage(snapshots.select(*MARKET_KEYS, "created_at", "median_price", "market_confidence"))
+    snapshots = stage(monthly_snapshots(tables).select(*MARKET_KEYS, "created_at", "median_price", "market_confidence"))
     wide = asof.with_history(snapshots, snapshots, MARKET_KEYS, horizons)
     names = [name for name, *_ in horizons]
     return wide.where(F.coalesce(*names).isNotNull()).select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -50,14 +51,29 @@ def checkpoint_directory(spark: SparkSession) -> str:
     return current
 
 
+_STAGED: list[str] = []
+
+
 def stage(frame: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and continue from there.
+    """Write a frame as a table in the shared checkpoint folder and read it back.
 
     Used where a result feeds several branches or an iteration: the work is done
-    once, and a lost executor re-reads files in place of redoing the lineage.
+    once, lineage ends at files a lost executor can re-read, and the scan that
+    follows prunes columns and knows its size.
     """
-    checkpoint_directory(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    spark = frame.sparkSession
+    path = f"{checkpoint_directory(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    _STAGED.append(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove the staged tables this process wrote; call when results were consumed."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        target.getFileSystem(hadoop).delete(target, True)
 
 
 def broadcast_if_small(frame: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
