@@ -24,7 +24,8 @@ MARKET_COLUMNS = (
 
 
 def clamp(value: Column, low: int = 0, high: int = 100) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """Value held within bounds; null stays null (greatest and least would drop it)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def half_even(value: Column) -> Column:

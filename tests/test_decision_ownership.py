@@ -97,6 +97,12 @@ def test_unknown_cost_is_insufficient(spark):
     assert row.recommendation == "INSUFFICIENT_DATA" and row.price_difference is None
 
 
+def test_unknown_values_stay_unknown(spark):
+    row = offers(spark, used={"source_country": "CN", "warranty_until": None}).where("segment = 'USED'").first()
+    assert row.acquisition_cost is None and row.resale_value is None and row.warranty_months is None
+    assert row.projection_confidence == 100 - 2 - 10 - 30  # market 90, warranty unknown, cost unknown
+
+
 def test_requested_pairs_equal_default(spark):
     projected = offers(spark)
     wanted = spark.createDataFrame([("new", "used")], "new_listing_id string, used_listing_id string")

@@ -82,6 +82,11 @@ def test_quality_golden(spark):
     assert [row.listing_quality for row in rows.orderBy("listing_id").collect()] == [85, 75, 0]
 
 
+def test_quality_without_confidences(spark):
+    rows = market.with_quality(listings(spark, {"recognition_confidence": None}, {"description_confidence": None}, {"recognition_confidence": None, "warranty_clear": None}))
+    assert [row.listing_quality for row in rows.orderBy("listing_id").collect()] == [80, 85, 70]
+
+
 def test_exclusion_reasons(spark):
     frame = listings(
         spark, {}, {"price": None}, {"currency": "USD"}, {"recognized_product_id": None}, {"segment": None}, {"segment": "NEW"}, {"source_country": None},
