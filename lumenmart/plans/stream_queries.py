@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from lumenmart.functions import text
 from lumenmart.operators import health
 from lumenmart.plans import derived
-from lumenmart.plans.radar_queries import (
+from lumenmart.plans.ingest_queries import (
     _INCIDENTS_SQL, _PROBLEM_CASE, _RANK_CASE, UPSERT_SQL, feed_records, upsert_view,
 )
 from lumenmart.plans.registry import Tables, query

@@ -10,7 +10,7 @@ from lumenmart.plans import derived
 from lumenmart.plans.decision_queries import _MONTHS_SQL, DECISION_SQL as LISTING_DECISION_SQL, decisions
 from lumenmart.plans.derived import AS_OF, CATALOG_SQL, DECISION_SQL, DUCK_HEALTH, OWNED_SQL, WATCH_SQL
 from lumenmart.plans.market_queries import _SNAPSHOT
-from lumenmart.plans.radar_queries import _ORDERED, checks
+from lumenmart.plans.ingest_queries import _ORDERED, checks
 from lumenmart.plans.registry import Tables, query
 from lumenmart.plans.serving_queries import lens_catalog, wishes
 
