@@ -183,3 +183,26 @@ def test_unmatched_terms(spark):
     listings = spark.createDataFrame([("1", "Nikon ZG III body", ""), ("2", "cage compatible Nikon x", ""), ("3", "old thing", "")], "listing_id string, title string, description string")
     catalog = spark.createDataFrame([("Nikon",), ("Sony",)], "brand string")
     assert {(r.listing_id, r.term) for r in resolve.unmatched_terms(listings, catalog).collect()} == {("1", "nikon zg iii body")}
+
+
+def test_fuzzy_matches_equal_a_scan_of_all_products(spark):
+    from difflib import SequenceMatcher
+
+    products = [("p1", "Brand 17", "red widget"), ("p2", "Brand 17", "red gear"), ("p3", "Brand 4", "cold anvil x100"), ("p4", "Other", "red widget")]
+    texts = ["brand 17 red vidget", "brand 17 red wigdet gear", "nothing here", "cold anvil x10 brand 4", "big brand 17 red gea for sale", "other red widgets"]
+    catalog = spark.createDataFrame([(*row, "") for row in products], "product_id string, brand string, model string, version string")
+    frame = spark.createDataFrame([(t, t) for t in texts], "text_id string, normalized string").withColumn("tokens", resolve.product_words(F.col("normalized")))
+    found = {(r.text_id, r.product_id): r.ratio for r in resolve.fuzzy_matches(frame, catalog).collect()}
+    words = lambda value: {w for w in value.split() if len(w) > 1 and w not in text.IGNORED_WORDS}
+    expected = {}
+    for body in texts:
+        for key, brand, model in products:
+            display = f"{brand} {model}".lower()
+            distinctive = any(len(w) >= 3 and any(c.isdigit() for c in w) for w in words(display))
+            if len(words(display) & words(body)) < 2 or not (brand.lower() in body or distinctive):
+                continue
+            parts, size = body.split(), max(2, len(display.split()))
+            best = max(SequenceMatcher(None, display, " ".join(parts[i:i + size])).ratio() for i in range(len(parts)))
+            if best >= 0.82:
+                expected[body, key] = best
+    assert expected and found == pytest.approx(expected)
