@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 
-from lumenmart.llm import bpe, stream_dedup
-from lumenmart.llm.common import table, tune
+from lumenmart.llm import bpe, stream_dedup, suffix_levels, warc
+from lumenmart.llm.common import scratch, table, tune
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -20,17 +20,32 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_levels.without_repeats(table(tune(spark), sf_dir, "documents"))
+
+
 def op8_bpe(spark, sf_dir):
     return bpe.round_trip(table(tune(spark), sf_dir, "documents"), vocabulary_path())
 
 
+def op9_warc(spark, sf_dir):
+    return warc.archive_round_trip(table(tune(spark), sf_dir, "pages"), scratch(spark, "archives"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return stream_dedup.exact_groups(table(tune(spark), sf_dir, "documents"))
 
 
-QUERIES = {"op8_bpe": op8_bpe, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op6_suffix_dedup": op6_suffix_dedup, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLES = {
+    "op9_warc": r"""
+        with bodies as (select page_id, encode(coalesce(html, '')) as payload from pages),
+             holders as (select payload, min(page_id) as holder from bodies group by payload)
+        select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest,
+               case when octet_length(payload) >= 100 and page_id <> holder then 'revisit' else 'response' end as record_type,
+               case when octet_length(payload) >= 100 and page_id <> holder then holder end as refers_to
+        from bodies join holders using (payload)""",
     "op10_exact_dedup": r"""
         with normal as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as full_text from documents),
              groups as (select full_text, min(doc_id) as keep_id, count(*) as group_size from normal group by full_text)
