@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from lumenmart.llm import bpe, stream_dedup, suffix_levels, warc
+from lumenmart.llm import bpe, mixing, permutation, stream_dedup, suffix_levels, warc
 from lumenmart.llm.common import scratch, table, tune
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -20,10 +20,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_permutation_index(spark, sf_dir):
+    return permutation.nearest(table(tune(spark), sf_dir, "embeddings"))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return suffix_levels.without_repeats(table(tune(spark), sf_dir, "documents"))
 
 
+def op7_mixing(spark, sf_dir):
+    return mixing.taken_words(mixing.mix(table(tune(spark), sf_dir, "documents")))
+
+
 def op8_bpe(spark, sf_dir):
     return bpe.round_trip(table(tune(spark), sf_dir, "documents"), vocabulary_path())
 
@@ -36,7 +44,7 @@ def op10_exact_dedup(spark, sf_dir):
     return stream_dedup.exact_groups(table(tune(spark), sf_dir, "documents"))
 
 
-QUERIES = {"op6_suffix_dedup": op6_suffix_dedup, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op3_permutation_index": op3_permutation_index, "op7_mixing": op7_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLES = {
     "op9_warc": r"""
