@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 
-from lumenmart.llm import bpe, mixing, permutation, stream_dedup, suffix_levels, warc
-from lumenmart.llm.common import scratch, table, tune
+from pyspark.sql import functions as F
+
+from lumenmart.llm import bpe, mixing, permutation, shards, stream_dedup, suffix_levels, toxicity, warc
+from lumenmart.llm.common import scratch, stage, table, tune
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -20,10 +22,21 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark, sf_dir):
+    tune(spark)
+    return toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_permutation_index(spark, sf_dir):
     return permutation.nearest(table(tune(spark), sf_dir, "embeddings"))
 
 
+def op4_token_shards(spark, sf_dir):
+    docs = table(tune(spark), sf_dir, "documents")
+    written = stage(shards.write_shards(docs, vocabulary_path("byte_bpe_50k.tiktoken"), scratch(spark, "shards")))
+    return shards.read_shards(written).select("slot", "shard", "sequence", "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return suffix_levels.without_repeats(table(tune(spark), sf_dir, "documents"))
 
@@ -44,7 +57,7 @@ def op10_exact_dedup(spark, sf_dir):
     return stream_dedup.exact_groups(table(tune(spark), sf_dir, "documents"))
 
 
-QUERIES = {"op3_permutation_index": op3_permutation_index, "op7_mixing": op7_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_token_shards": op4_token_shards, "op3_permutation_index": op3_permutation_index, "op7_mixing": op7_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLES = {
     "op9_warc": r"""
