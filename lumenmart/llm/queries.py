@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from lumenmart.llm import bpe, mixing, permutation, shards, stream_dedup, suffix_levels, toxicity, warc
+from lumenmart.llm import bpe, brown, mixing, permutation, shards, stream_dedup, suffix_levels, toxicity, warc
 from lumenmart.llm.common import scratch, stage, table, tune
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_brown_classes(spark, sf_dir):
+    return brown.scored_documents(table(tune(spark), sf_dir, "documents"))
+
+
 def op3_permutation_index(spark, sf_dir):
     return permutation.nearest(table(tune(spark), sf_dir, "embeddings"))
 
@@ -57,7 +61,7 @@ def op10_exact_dedup(spark, sf_dir):
     return stream_dedup.exact_groups(table(tune(spark), sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_token_shards": op4_token_shards, "op3_permutation_index": op3_permutation_index, "op7_mixing": op7_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_brown_classes": op2_brown_classes, "op4_token_shards": op4_token_shards, "op3_permutation_index": op3_permutation_index, "op7_mixing": op7_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLES = {
     "op9_warc": r"""
