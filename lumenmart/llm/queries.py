@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from lumenmart.llm import bpe, brown, mixing, permutation, shards, stream_dedup, suffix_levels, toxicity, warc
+from lumenmart.llm import bpe, brown, chosen_path, mixing, permutation, shards, stream_dedup, suffix_levels, toxicity, warc
 from lumenmart.llm.common import scratch, stage, table, tune
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,6 +41,10 @@ def op4_token_shards(spark, sf_dir):
     return shards.read_shards(written).select("slot", "shard", "sequence", "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
 
+def op5_chosen_path(spark, sf_dir):
+    return chosen_path.similar_classes(table(tune(spark), sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return suffix_levels.without_repeats(table(tune(spark), sf_dir, "documents"))
 
@@ -61,7 +65,11 @@ def op10_exact_dedup(spark, sf_dir):
     return stream_dedup.exact_groups(table(tune(spark), sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_brown_classes": op2_brown_classes, "op4_token_shards": op4_token_shards, "op3_permutation_index": op3_permutation_index, "op7_mixing": op7_mixing, "op6_suffix_dedup": op6_suffix_dedup, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op1_toxicity": op1_toxicity, "op2_brown_classes": op2_brown_classes, "op3_permutation_index": op3_permutation_index,
+    "op4_token_shards": op4_token_shards, "op5_chosen_path": op5_chosen_path, "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_mixing": op7_mixing, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_exact_dedup": op10_exact_dedup,
+}
 
 ORACLES = {
     "op9_warc": r"""

@@ -1,28 +1,56 @@
-"""Pipeline stages: each takes (spark, docs, sf_dir) and lets one operator decide on the documents."""
+"""Pipeline stages: each takes (spark, docs, sf_dir) and lets one operator decide on the documents.
+
+All but the last return the columns of `docs`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lumenmart.llm import bpe, stream_dedup
-from lumenmart.llm.common import fold, tune
+from lumenmart.llm import bpe, chosen_path, mixing, stream_dedup, toxicity
+from lumenmart.llm.common import fold, table, tune
 from lumenmart.llm.queries import vocabulary_path
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier does not call toxic."""
+    tune(spark)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = toxicity.fit(own, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def _one_each(docs: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `docs` whose keys are in `kept`; of rows equal in them one."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in docs.columns if c in ("source", "lang", "n_chars")] or [F.lit(1)]))
+    return fold(docs, kept, keys, "left_semi").withColumn("_place", place).where("_place = 1")
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of equal texts; of rows equal in id and text one stays."""
+    """The first document of each group of equal texts."""
     tune(spark)
     kept = stream_dedup.exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("_digest"))
     keyed = docs.withColumn("_digest", F.sha2(stream_dedup.normalised(F.col("text")), 256))
-    first = Window.partitionBy("doc_id", "_digest").orderBy("n_chars")
-    return (
-        fold(keyed, kept, ["doc_id", "_digest"], "left_semi")
-        .withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*docs.columns)
-    )
+    return _one_each(keyed, kept, ["doc_id", "_digest"]).select(*docs.columns)
+
+
+def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document that gives its class the name; rows without an id stay."""
+    tune(spark)
+    names = chosen_path.similar_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
+    with_id = _one_each(docs.where("doc_id is not null"), names, ["doc_id"])
+    return with_id.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: one row per document and copy, cut to the words taken."""
+    tune(spark)
+    return mixing.mixed_documents(docs, mixing.mix(docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and the decoded text of every document."""
+    """Token ids and the digest of the decoded text of every document."""
     tune(spark)
     path = vocabulary_path()
-    return bpe.decode(bpe.encode(docs, path), path).select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
+    return bpe.decode(tokens, path).select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

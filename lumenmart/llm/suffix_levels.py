@@ -109,7 +109,7 @@ def entry_keys(data: np.ndarray, place: np.ndarray, grams: np.ndarray) -> np.nda
     return ((head << np.uint64(32) | (grams & _LOW)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _filter_bit(keys: np.ndarray) -> np.ndarray:
+def filter_bit(keys: np.ndarray) -> np.ndarray:
     mixed = keys.view(np.uint64) * _MIX
     return (mixed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -187,12 +187,12 @@ def marked_entries(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     return stage(reduce(DataFrame.unionByName, marks).distinct())
 
 
-def _filter_words(marks: DataFrame) -> np.ndarray:
+def filter_words(marks: DataFrame) -> np.ndarray:
     """The filter of marked keys, or-ed on the cluster; at most 2^FILTER_BITS bits reach the driver."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            bit = _filter_bit(_column(part, "key").to_numpy(zero_copy_only=False))
+            bit = filter_bit(_column(part, "key").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array((np.uint64(1) << (bit & 63).astype(np.uint64)).view(np.int64))], names=["slot", "bits"])
 
     words = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
@@ -217,7 +217,7 @@ def _pieces(docs: DataFrame, words, length: int) -> DataFrame:
             once: dict[tuple[int, int], list] = {}
             for numbers, place, first, last, grams in picked_places(data, ends, length):
                 keys = entry_keys(data, place, grams)
-                bit = _filter_bit(keys)
+                bit = filter_bit(keys)
                 keep = np.flatnonzero(marked[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
                 hashed = []
                 for key, a, z in zip(keys[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
@@ -346,7 +346,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     """
     spark = docs.sparkSession
     marks = marked_entries(docs, length, batches)
-    words = spark.sparkContext.broadcast(_filter_words(marks))
+    words = spark.sparkContext.broadcast(filter_words(marks))
     folder = scratch(spark, "suffix-pieces")
     _pieces(docs, words, length).write.partitionBy("kind").option("compression", "zstd").parquet(folder)
     pieces = spark.read.schema(PIECES).parquet(folder)
