@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenmart.llm.stages import deduplicate, tokenize
+from lumenmart.llm.stages import deduplicate, mix_sources, near_deduplicate, reject_toxic, tokenize
 
-STAGES = [("exact_dedup", deduplicate), ("bpe", tokenize)]
+STAGES = [
+    ("toxicity", reject_toxic), ("exact_dedup", deduplicate), ("ngram_jaccard_join", near_deduplicate),
+    ("mixing", mix_sources), ("bpe", tokenize),
+]
 
 #: Trained scores, sampled blocks and merge tables have no SQL form.
 ORACLE_SQL = None
