@@ -111,7 +111,8 @@ def connected_keys(edges: DataFrame) -> DataFrame:
 
 def duplicate_groups(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
     """(listing_id, component) of every listing that has at least one duplicate."""
-    links = memberships(listings, scope)
+    # a listing that is present twice is no duplicate of itself
+    links = memberships(listings, scope).distinct()
     shared = links.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     links = stage(links.join(shared, "key", "left_semi"))
     anchors = links.groupBy("listing_id").agg(F.min("key").alias("a"))
@@ -144,4 +145,4 @@ def duplicates(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
     return members.join(best, "component").select(
         "listing_id", "component", "winner_id",
         (F.col("listing_id") != F.col("winner_id")).alias("is_duplicate"),
-    )
+    ).distinct()

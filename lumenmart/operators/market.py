@@ -88,7 +88,7 @@ def with_observation(listings: DataFrame, target_country: Column, currency: Colu
 
 def mark_duplicates(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
     """A duplicate loses whatever reason it had; winners keep theirs."""
-    losers = dedupe.duplicates(rows, scope).where("is_duplicate").select("listing_id", F.lit(True).alias("loses"))
+    losers = dedupe.duplicates(rows, scope).where("is_duplicate").select("listing_id").distinct().withColumn("loses", F.lit(True))
     return (
         rows.join(losers, "listing_id", "left")
         .withColumn("excluded_reason", F.when(F.col("loses"), F.lit("DUPLICATE")).otherwise(F.col("excluded_reason")))

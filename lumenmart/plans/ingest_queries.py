@@ -13,14 +13,11 @@ NEW_SINCE = "2000-01-01"
 STALE_AT = "2001-06-30"
 STALE_AFTER = 365
 
-_WATCHES_SQL = (
-    f"watches as materialized (select min(watch_id) as watch_id, product_id, arg_min(max_price, watch_id) as max_price, arg_min(currency, watch_id) as currency "
-    f"from ({WATCH_SQL}) where active group by product_id)"
-)
+_WATCHES_SQL = f"watches as materialized (select watch_id, product_id, max_price, currency from ({WATCH_SQL}) where active)"
 _QUERIES_SQL = "queries as materialized (select concat('name-', p_name) as watch_id, p_name as query, round(avg(p_retailprice), 2) as max_price from part group by p_name)"
 _PAIRS_SQL = (
-    "pairs as materialized (select listing_id, watch_id, max_price, w.currency as watch_currency from obs join watches w on obs.product_id = w.product_id "
-    "union all select listing_id, watch_id, max_price, 'EUR' from obs join queries on contains(lower(title), lower(query)))"
+    "pairs as materialized (select distinct listing_id, watch_id, max_price, w.currency as watch_currency from obs join watches w on obs.product_id = w.product_id "
+    "union all select distinct listing_id, watch_id, max_price, 'EUR' from obs join queries on contains(lower(title), lower(query)))"
 )
 
 

@@ -52,6 +52,18 @@ def active_uniqueness(tables: Tables) -> DataFrame:
     return found.select(F.col("key_0").alias("product_id"), F.col("key_1").alias("condition_preference"), "active_rows")
 
 
+@query(
+    "repeated_watch_targets",
+    f"select product_id, '' as query, '' as sources, count(*) as active_rows from ({WATCH_SQL}) where active group by product_id having count(*) > 1",
+)
+def repeated_watch_targets(tables: Tables) -> DataFrame:
+    """Targets (product, query, sources) that several active watches share."""
+    rows = derived.watches(tables).withColumns({"query": F.lit(None).cast("string"), "source_ids": F.array().cast("array<string>")})
+    target = [F.lower(F.coalesce("product_id", F.lit(""))), F.lower(F.coalesce("query", F.lit(""))), F.array_join(F.array_sort("source_ids"), ",")]
+    found = contracts.conditional_unique(rows, F.col("active"), target)
+    return found.select(F.col("key_0").alias("product_id"), F.col("key_1").alias("query"), F.col("key_2").alias("sources"), "active_rows")
+
+
 @query(
     "invalid_defects",
     f"select 'obs' as \"table\", listing_id as row_key, 'defects' as field, 'invalid defect' as rule, cast(len(string_split(defects_text, '|')) as varchar) as value "
