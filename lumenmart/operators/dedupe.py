@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lumenmart.session import stage
+from lumenmart.session import stage, stage_observed
 
 BAND_DAYS = 30
 BAND_MICROS = BAND_DAYS * 86_400 * 1_000_000
@@ -96,13 +96,12 @@ def connected_keys(edges: DataFrame) -> DataFrame:
             .union(smallest.select("a", F.col("low").alias("b")))
             .distinct()
         )
-        current = stage(small)
-        state = current.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
-        if tuple(state) == fingerprint:
+        # the state is measured while it is written, not by a second job
+        current, state = stage_observed(
+            small, F.count(F.lit(1)).alias("edges"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("checksum"))
+        if state == fingerprint:
             break
-        fingerprint = tuple(state)
+        fingerprint = state
     roots = current.groupBy("a").agg(F.min("b").alias("component"))
     return nodes.join(roots, nodes["key"] == roots["a"], "left").select(
         "key", F.coalesce("component", "key").alias("component")

@@ -40,11 +40,11 @@ def stream_upsert(tables: Tables) -> DataFrame:
     "select strftime(date_trunc('day', ts), '%Y-%m-%d') as digest, event_type, count(*) as alerts from events group by all",
 )
 def stream_digest(tables: Tables) -> DataFrame:
-    """Daily digest counts of the event stream with a watermark."""
+    """Daily digest counts of the event stream, late rows included."""
     folder = work_folder(tables, "digest")
     alerts = event_stream(tables).select(F.col("ts").cast("timestamp").alias("created_at"), "event_type")
-    jobs.write_changes(jobs.digest_stream(alerts, "created_at", "1 day", "2 days", "event_type"), f"{folder}/log", f"{folder}/checkpoint")
-    rows = jobs.current(tables.spark, f"{folder}/log", ["digest_start", "event_type"])
+    jobs.write_digest(alerts, f"{folder}/log", f"{folder}/checkpoint", "created_at", "1 day", "event_type")
+    rows = jobs.digest_totals(tables.spark, f"{folder}/log", "event_type")
     return rows.select(F.date_format("digest_start", "yyyy-MM-dd").alias("digest"), "event_type", "alerts")
 
 
@@ -117,7 +117,26 @@ def rss_feed_scan(tables: Tables) -> DataFrame:
     return scans.rss_feed(tables.spark, folder, price_format).select("external_id", "url", "price", "problem")
 
 
-@query("table_counts", " union all ".join(f"select '{name}' as \"table\", count(*) as rows from {name}" for name in ("part", "orders", "lineitem", "events", "documents", "pages")))
+ALL_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
+
+
+@query("table_counts", " union all ".join(f"select '{name}' as \"table\", count(*) as rows from {name}" for name in ALL_TABLES))
 def table_counts(tables: Tables) -> DataFrame:
-    """Rows per table in one job."""
-    return scans.count_rows({name: getattr(tables, name) for name in ("part", "orders", "lineitem", "events", "documents", "pages")})
+    """Rows of every table in one job."""
+    return scans.count_rows({name: getattr(tables, name) for name in ALL_TABLES})
+
+
+@query(
+    "stream_fresh_alerts",
+    "select distinct concat(event_type, ':', cast(user_id as varchar)) as deduplication_key from events",
+)
+def stream_fresh_alerts(tables: Tables) -> DataFrame:
+    """The event stream as alerts, each deduplication key sent once."""
+    folder = work_folder(tables, "alerts")
+    key = F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("deduplication_key")
+    alerts = event_stream(tables).select(key, F.col("ts").cast("timestamp").alias("created_at"))
+    jobs.write_fresh_alerts(alerts, f"{folder}/log", f"{folder}/checkpoint", "created_at")
+    return tables.spark.read.parquet(f"{folder}/log").select("deduplication_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,8 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# A side is broadcast only while it is provably below this many rows.
-BROADCAST_ROW_LIMIT = 200_000
+# A side is broadcast only while its statistics prove it below this many bytes.
+BROADCAST_BYTE_LIMIT = 32 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -54,6 +54,12 @@ def checkpoint_directory(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
+def stage_observed(frame: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
+    """``stage`` that also returns aggregates of the rows, taken while they are written."""
+    seen = Observation()
+    return stage(frame.observe(seen, *measures)), seen.get
+
+
 def stage(frame: DataFrame) -> DataFrame:
     """Write a frame as a table in the shared checkpoint folder and read it back.
 
@@ -76,10 +82,13 @@ def drop_staged(spark: SparkSession) -> None:
         target.getFileSystem(hadoop).delete(target, True)
 
 
-def broadcast_if_small(frame: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast only after counting (never beyond limit + 1 rows); else leave to AQE."""
-    bounded = frame.limit(limit + 1).count()
-    return F.broadcast(frame) if bounded <= limit else frame
+def broadcast_if_small(frame: DataFrame, limit: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Broadcast a side whose optimized plan is known to stay below ``limit`` bytes; else leave the choice to AQE.
+
+    Reads plan statistics only (file sizes and bounds), so no job runs here.
+    """
+    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(frame) if int(str(size)) <= limit else frame
 
 
 def spread(scan: DataFrame) -> DataFrame:

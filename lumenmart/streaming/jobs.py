@@ -52,15 +52,32 @@ def upsert_stream(records: DataFrame) -> DataFrame:
     )
 
 
-def digest_stream(alerts: DataFrame, at: str, width: str, lateness: str, *keys: str) -> DataFrame:
-    """Digest counts per window; windows leave the state once the watermark passed."""
-    counted = notify.digest(alerts.withWatermark(at, lateness), at, width, *keys)
-    return counted.select(F.col("window.start").alias("digest_start"), *keys, "alerts")
+def write_digest(alerts: DataFrame, path: str, checkpoint: str, at: str, width: str, *keys: str) -> None:
+    """Log the digest counts of every batch; late rows count like others, whatever their batch."""
+    def log(batch: DataFrame, number: int) -> None:
+        counted = notify.digest(batch, at, width, *keys).select(F.col("window.start").alias("digest_start"), *keys, "alerts")
+        counted.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    alerts.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(log).start().awaitTermination()
+
 
+def digest_totals(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("digest_start", *keys).agg(F.sum("alerts").alias("alerts"))
 
-def fresh_alerts_stream(alerts: DataFrame, at: str, lateness: str) -> DataFrame:
-    """First alert per deduplication key within the lateness horizon."""
-    return alerts.withWatermark(at, lateness).dropDuplicatesWithinWatermark(["deduplication_key"])
+
+def write_fresh_alerts(alerts: DataFrame, path: str, checkpoint: str, at: str) -> None:
+    """Log each deduplication key once, however long ago it was sent: a batch meets the keys of all earlier ones."""
+    spark = alerts.sparkSession
+
+    def log(batch: DataFrame, number: int) -> None:
+        columns = [name for name in batch.columns if name != "deduplication_key"]
+        first = batch.groupBy("deduplication_key").agg(F.min(F.struct(at, *[c for c in columns if c != at])).alias("row")).select("deduplication_key", "row.*")
+        if number:
+            earlier = spark.read.parquet(path).where(F.col("batch") < number).select("deduplication_key")
+            first = notify.fresh(first, earlier)
+        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    alerts.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(log).start().awaitTermination()
 
 
 def latest_sightings_stream(listings: DataFrame, at: str, lateness: str, stale: str) -> DataFrame:
@@ -70,56 +87,31 @@ def latest_sightings_stream(listings: DataFrame, at: str, lateness: str, stale:
         F.max(at).alias("last_seen_at")).select("duplicate_key", "last_seen_at", F.col("session.end").alias("expired_at"))
 
 
-STATE_COLUMNS = ("source_id", "open_kind", "open_rank", "incident_no", "checked_at", "check_id")
+CHECK_COLUMNS = ("check_id", "source_id", "checked_at", "status", "error_type", "severity_rank")
 
 
 def incident_stream(checks: DataFrame, path: str, state_path: str, checkpoint: str) -> None:
-    """Incident lifecycle over micro-batches with one state row per source.
+    """Incident lifecycle over micro-batches, right for checks that arrive in any order.
 
-    A batch joins the state of the batch before it: the open problem of a source
-    enters as a synthetic first check, so the batch job itself is the same as for
-    stored data. State and output are written per batch number and replay safely.
+    The state is the log of checks. A batch numbers the incidents of the sources it
+    touches anew, in event time, and logs only those; untouched sources keep their
+    rows. State and output are written per batch number and replay safely.
     """
     spark = checks.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = batch.select("check_id", "source_id", "checked_at", "status", "error_type", "severity_rank").withColumn("synthetic", F.lit(False))
-        state = _state_before(spark, state_path, number)
-        if state is not None:
-            touched = state.join(rows.select("source_id").distinct(), "source_id", "left_semi")
-            opened = touched.where("open_kind is not null").select(
-                "check_id", "source_id", "checked_at", F.lit("OPEN").alias("status"), F.col("open_kind").alias("error_type"),
-                F.col("open_rank").alias("severity_rank"), F.lit(True).alias("synthetic"))
-            rows = rows.unionByName(opened)
-            offsets = touched.select("source_id", (F.col("incident_no") - F.col("open_kind").isNotNull().cast("int")).alias("offset"))
-        else:
-            offsets = rows.select("source_id", F.lit(0).alias("offset")).where("false")
-        numbered = health.incidents(rows).join(offsets, "source_id", "left").withColumn(
-            "incident_no", F.col("incident_no") + F.coalesce("offset", F.lit(0))).drop("offset")
-        out = f"{path}/batch={number}"
-        numbered.select("source_id", "incident_no", "check_id", "checked_at", "status", "error_type", "severity_rank", "starts", "synthetic").write.mode("overwrite").parquet(out)
-        written = spark.read.parquet(out)
-        last = F.struct("checked_at", "check_id")
-        ends = rows.groupBy("source_id").agg(
-            F.max_by(F.struct("error_type", "checked_at", "check_id"), last).alias("end"))
-        tops = written.groupBy("source_id", "incident_no").agg(F.max("severity_rank").alias("open_rank"))
-        newest = tops.groupBy("source_id").agg(F.max_by("open_rank", "incident_no").alias("open_rank"), F.max("incident_no").alias("last_no"))
-        fresh = ends.join(newest, "source_id", "left").join(offsets, "source_id", "left").select(
-            "source_id", F.col("end.error_type").alias("open_kind"), F.when(F.col("end.error_type").isNotNull(), F.col("open_rank")).alias("open_rank"),
-            F.coalesce("last_no", "offset", F.lit(0)).cast("long").alias("incident_no"), F.col("end.checked_at").alias("checked_at"), F.col("end.check_id").alias("check_id"))
-        if state is not None:
-            kept = state.join(fresh.select("source_id"), "source_id", "left_anti")
-            fresh = fresh.unionByName(kept.select(*STATE_COLUMNS))
-        fresh.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-
-    run = checks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
-    run.awaitTermination()
-
+        batch.select(*CHECK_COLUMNS).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        log = spark.read.parquet(state_path).where(F.col("batch") <= number)
+        touched = log.where(F.col("batch") == number).select("source_id").distinct()
+        rows = log.join(touched, "source_id", "left_semi").select(*CHECK_COLUMNS)
+        numbered = health.incidents(rows).select("source_id", "incident_no", "check_id", "checked_at", "status", "error_type", "severity_rank", "starts")
+        numbered.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        touched.write.mode("overwrite").parquet(f"{path}-touched/batch={number}")
 
-def _state_before(spark: SparkSession, state_path: str, number: int) -> Optional[DataFrame]:
-    return spark.read.parquet(f"{state_path}/batch={number - 1}").select(*STATE_COLUMNS) if number > 0 else None
+    checks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
 
 
 def incident_log(spark: SparkSession, path: str) -> DataFrame:
-    """Problem checks with their incident number, without the synthetic ones."""
-    return spark.read.parquet(path).where("not synthetic")
+    """Problem checks with their incident number: for each source those of the last batch that touched it."""
+    last = spark.read.parquet(f"{path}-touched").groupBy("source_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(path).join(last, ["source_id", "batch"], "left_semi").drop("batch")

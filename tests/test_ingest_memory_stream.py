@@ -65,11 +65,38 @@ def test_incidents_match_a_sequential_scan(spark):
 
 def test_incident_stream_equals_batch(spark, tmp_path):
     rows = random_checks(seed=12)
-    for part in range(4):
-        spark.createDataFrame(rows[part * 150:(part + 1) * 150], CHECK).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
-    feed = jobs.read_feed(spark, str(tmp_path / "feed"), spark.createDataFrame([], CHECK).schema, files_per_batch=1)
-    jobs.incident_stream(feed, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp"))
-    assert {r.check_id: r.incident_no for r in jobs.incident_log(spark, str(tmp_path / "out")).collect()} == scan_incidents(rows)
+    for name, order in (("in-order", rows), ("newest-first", rows[::-1]), ("shuffled", random.Random(5).sample(rows, len(rows)))):
+        folder = tmp_path / name
+        for part in range(4):
+            spark.createDataFrame(order[part * 150:(part + 1) * 150], CHECK).coalesce(1).write.mode("append").parquet(str(folder / "feed"))
+        feed = jobs.read_feed(spark, str(folder / "feed"), spark.createDataFrame([], CHECK).schema, files_per_batch=1)
+        jobs.incident_stream(feed, str(folder / "out"), str(folder / "state"), str(folder / "cp"))
+        assert {r.check_id: r.incident_no for r in jobs.incident_log(spark, str(folder / "out")).collect()} == scan_incidents(rows)
+
+
+def test_digest_stream_counts_late_rows(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(START + timedelta(minutes=rng.randint(0, 60 * 24 * 30)), rng.choice("ab")) for _ in range(300)]
+    schema = "at timestamp, kind string"
+    for part in range(3):
+        spark.createDataFrame(sorted(rows, reverse=True)[part * 100:(part + 1) * 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    feed = jobs.read_feed(spark, str(tmp_path / "feed"), spark.createDataFrame([], schema).schema, files_per_batch=1)
+    jobs.write_digest(feed, str(tmp_path / "log"), str(tmp_path / "cp"), "at", "1 day", "kind")
+    streamed = {tuple(r) for r in jobs.digest_totals(spark, str(tmp_path / "log"), "kind").collect()}
+    batch = notify.digest(spark.createDataFrame(rows, schema), "at", "1 day", "kind").select("window.start", "kind", "alerts")
+    assert streamed == {tuple(r) for r in batch.collect()} and sum(r[2] for r in streamed) == 300
+
+
+def test_degradation_rules(spark):
+    rows = [(1, "a", 5, 10, 0, False), (2, "a", 0, 10, 0, False), (3, "a", 0, 10, 0, False), (1, "b", 5, 10, 0, False), (2, "b", 0, 10, 0, False),
+            (1, "c", 5, 500, 0, False), (2, "c", 5, 1, 2, False), (3, "c", 5, 1, 0, True)]
+    metrics = spark.createDataFrame(rows, "run_no int, source_id string, relevant int, response_time_ms int, errors int, source_failed boolean")
+    watched = spark.createDataFrame([("a",), ("a",)], "source_id string")
+    got = {(r.source_id, r.run_no): (r.status, r.rule) for r in health.degraded(metrics, 300, watched).collect()}
+    healthy = ("HEALTHY", None)
+    assert got == {
+        ("a", 1): healthy, ("a", 2): ("DEGRADED", "nothing relevant any more"), ("a", 3): healthy, ("b", 1): healthy, ("b", 2): healthy,
+        ("c", 1): ("DEGRADED", "response over timeout"), ("c", 2): ("DEGRADED", "record errors"), ("c", 3): ("FAILED", None)}
 
 
 def test_upsert_stream_equals_batch_over_several_files(spark, tmp_path):
@@ -87,12 +114,12 @@ def test_upsert_stream_equals_batch_over_several_files(spark, tmp_path):
 
 
 def test_alert_stream_drops_repeats(spark, tmp_path):
-    rows = [("k1", START), ("k1", START + timedelta(minutes=1)), ("k2", START)]
-    frame = spark.createDataFrame(rows, "deduplication_key string, created_at timestamp")
-    frame.coalesce(1).write.parquet(str(tmp_path / "feed"))
-    stream = jobs.fresh_alerts_stream(jobs.read_feed(spark, str(tmp_path / "feed"), frame.schema), "created_at", "1 day")
-    jobs.write_changes(stream, str(tmp_path / "out"), str(tmp_path / "cp"), mode="append")
-    assert sorted(r.deduplication_key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["k1", "k2"]
+    schema = "deduplication_key string, created_at timestamp"
+    for rows in ([("k1", START), ("k1", START + timedelta(minutes=1)), ("k2", START)], [("k1", START + timedelta(days=900)), ("k3", START)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    feed = jobs.read_feed(spark, str(tmp_path / "feed"), spark.createDataFrame([], schema).schema, files_per_batch=1)
+    jobs.write_fresh_alerts(feed, str(tmp_path / "out"), str(tmp_path / "cp"), "created_at")
+    assert sorted(r.deduplication_key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["k1", "k2", "k3"]
 
 
 def test_normalize_defaults_errors_and_keys(spark):
@@ -125,7 +152,7 @@ def test_watch_pairs_and_alerts(spark):
         ("w1", "p", None, [], 1000.0, "EUR", True), ("w2", "p", None, [], 5.0, "EUR", True), ("w3", None, "GEAR", ["s"], None, "EUR", True),
         ("w4", None, "gear", [], None, "EUR", True), ("w5", "q", None, [], 1.0, "EUR", False)], schema)
     pairs = listings.watch_pairs(frame, watches, F.col("title"))
-    assert {(r.listing_id, r.watch.watch_id) for r in pairs.collect()} == {("l0", "w1"), ("l1", "w4")}
+    assert sorted((r.listing_id, r.watch.watch_id) for r in pairs.collect()) == [("l0", "w1"), ("l0", "w2"), ("l1", "w4")]
     live = frame.withColumn("active", F.lit(True)).withColumn("warnings", F.array().cast("array<string>"))
     kinds = {(r.listing_id, r.notification_type) for r in notify.listing_alerts(live, pairs).collect()}
     assert kinds == {("l0", "NEW_MATCH"), ("l0", "PRICE_BELOW_TARGET"), ("l1", "NEW_MATCH")}
