@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lumenmart.llm.common import plain, spread, stage, tune
+from lumenmart.llm.common import plain, small_slices, spread, stage, tune
 from lumenmart.llm.suffix_levels import filter_bit, filter_words
 from lumenmart.operators.dedupe import connected_keys
 
@@ -36,7 +36,8 @@ DEPTH = 3
 RECALL = 0.99999
 #: Equal minhashes of a candidate pair: five standard deviations below what the least similarity gives, rounded down.
 AGREE = 35
-BUFFER = 4 << 20
+#: Bytes of text hashed at once.
+TOGETHER = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, dtype=bool)
@@ -141,7 +142,7 @@ def described(docs: DataFrame, words: int) -> DataFrame:
     functions = _functions()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (small for whole in parts for small in small_slices(whole, "text", TOGETHER)):
             sets = list(shingle_sets(_column(part, "text"), words))
             yield pa.RecordBatch.from_arrays([
                 _column(part, "doc_id"), pa.array([_set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
@@ -295,7 +296,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, small: int = SMA
 
     def exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked, seed = sent.value, 42
-        for part in parts:
+        for part in (small for whole in parts for small in small_slices(whole, "text", TOGETHER)):
             ids, grams = [], []
             for s in shingle_sets(_column(part, "text"), words):
                 if len(s):

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenmart.session import checkpoint_directory, spread, stage, tune
+from lumenmart import session
+from lumenmart.session import checkpoint_directory, spread, stage
 
-__all__ = ["WORD", "BLANK", "fold", "plain", "row_key", "scratch", "spread", "stage", "table", "tune", "arrow_rows"]
+__all__ = ["WORD", "BLANK", "fold", "plain", "row_key", "scratch", "small_slices", "spread", "stage", "table", "tune"]
 
 #: Words and the blanks between them: the ASCII white space of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,9 +47,26 @@ def fold(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFr
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def arrow_rows(batch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+#: What Spark hands to Python at once; texts may be long.
+ARROW_SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
-def file_name(path: str) -> str:
-    return os.path.basename(path.rstrip("/"))
+def tune(spark: SparkSession) -> SparkSession:
+    """The session's runtime settings and small Arrow batches."""
+    for key, value in ARROW_SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return session.tune(spark)
+
+
+def small_slices(part: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `size` bytes of a text column each, or one longer row."""
+    lengths = pa.compute.binary_length(part.column(part.schema.get_field_index(column))).fill_null(0).to_pylist()
+    begin = held = 0
+    for at, length in enumerate(lengths):
+        if held and held + length > size:
+            yield part.slice(begin, at - begin)
+            begin, held = at, 0
+        held += length
+    if begin < part.num_rows:
+        yield part.slice(begin)
