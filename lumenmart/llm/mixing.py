@@ -199,14 +199,18 @@ def mixed_documents(docs: DataFrame, mixture: Mixture) -> DataFrame:
 
     n_chars, where present, is that of the new text. Documents without a taken word have no row.
     """
-    keys = ["doc_id", "text_key", "source"]
+    keys = ["_id", "_text", "_from"]
+    named = [
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_key").alias("_text"),
+        F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))).alias("_from"),
+    ]
     lists = (
-        _pieces(mixture).groupBy(*keys, "start").agg(F.collect_list(F.struct("low", "high", "copies")).alias("pieces"))
+        _pieces(mixture).select("start", "low", "high", "copies", *named).groupBy(*keys, "start").agg(F.collect_list(F.struct("low", "high", "copies")).alias("pieces"))
         .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "pieces"))).alias("_lists"))
     )
-    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).select("*", *named)
     turn = Window.partitionBy(*keys).orderBy(F.lit(1))
-    chosen = fold(keyed, lists, keys, "inner").withColumn("_pieces", F.col("_lists")[F.row_number().over(turn) - 1]["pieces"])
+    chosen = keyed.join(lists, keys).withColumn("_pieces", F.col("_lists")[F.row_number().over(turn) - 1]["pieces"])
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(text: pd.Series, pieces: pd.Series) -> pd.Series:

@@ -5,10 +5,10 @@ All but the last return the columns of `docs`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lumenmart.llm import bpe, chosen_path, mixing, stream_dedup, toxicity
-from lumenmart.llm.common import fold, table, tune
+from lumenmart.llm.common import table, tune
 from lumenmart.llm.queries import vocabulary_path
 
 
@@ -20,18 +20,23 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
+def _named(doc_id: str = "doc_id") -> Column:
+    """The id as a key that is never null."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+
+
 def _one_each(docs: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of `docs` whose keys are in `kept`; of rows equal in them one."""
+    """Rows of `docs` whose keys are in `kept`; of rows equal in them one. Both steps share one shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in docs.columns if c in ("source", "lang", "n_chars")] or [F.lit(1)]))
-    return fold(docs, kept, keys, "left_semi").withColumn("_place", place).where("_place = 1")
+    return docs.join(kept.select(*keys), keys, "left_semi").withColumn("_place", place).where("_place = 1")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of equal texts."""
     tune(spark)
-    kept = stream_dedup.exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("_digest"))
-    keyed = docs.withColumn("_digest", F.sha2(stream_dedup.normalised(F.col("text")), 256))
-    return _one_each(keyed, kept, ["doc_id", "_digest"]).select(*docs.columns)
+    kept = stream_dedup.exact_groups(docs).where("kept").select(_named().alias("_key"), F.col("text_sha256").alias("_digest"))
+    keyed = docs.withColumn("_key", _named()).withColumn("_digest", F.sha2(stream_dedup.normalised(F.col("text")), 256))
+    return _one_each(keyed, kept, ["_key", "_digest"]).select(*docs.columns)
 
 
 def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
