@@ -4,9 +4,10 @@ Writing: pages meet the decision of their payload (response or revisit) by id an
 writes its records as compressed members into rolled files of the shared folder.
 
 Reading: archives are cut into byte ranges. A task looks for record starts in its range and emits, for
-each, the offset of its successor. Bytes inside a payload may look like a start too. From offset 0 of
-every file, pointer jumping (each round doubles the distance) collects the starts that are really
-reached; candidates off the chain are rejected.
+each, the offset of its successor and where the chain from it leaves the range. Bytes inside a payload
+may look like a start too. From offset 0 of every file, pointer jumping over the places where chains
+enter ranges (each round doubles the distance) finds the entry that is really reached; inside a range the
+chain is followed from its entry. Candidates off the chain are rejected.
 """
 
 from __future__ import annotations
@@ -16,18 +17,21 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from urllib.parse import quote
 
-from lumenmart.llm.common import fold, spread, stage, tune
+from lumenmart.llm.common import spread, stage, tune
 from lumenmart.llm.files import read_range, write_file
 
 LEAST_SHARED = 100
 ROLL = 16 << 20
 RANGE = 4 << 20
 LOOK_AHEAD = 1 << 16
+PIECE = 1 << 14
+MOST_TASKS = 100_000
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -75,8 +79,11 @@ def write_archives(pages: DataFrame, folder: str, packed: bool = True, roll: int
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     light = spread(rows).select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("payload_bytes"))
     decided = stage(decisions(light, least))
-    once = Window.partitionBy("page_id", "digest").orderBy("url")
-    work = fold(rows.withColumn("digest", F.sha2("html", 256)), decided, ["page_id", "digest"], "inner").withColumn(
+    # join and window share plain keys, so that the payloads move once
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key")
+    once = Window.partitionBy("key", "digest").orderBy("url")
+    bodies = rows.select("page_id", "url", "html", F.sha2("html", 256).alias("digest"), key)
+    work = bodies.join(decided.select(key, "digest", "original", "shared"), ["key", "digest"]).withColumn(
         "revisit", F.col("shared") & (~F.col("page_id").eqNullSafe(F.col("original")) | (F.row_number().over(once) > 1))
     )
 
@@ -124,19 +131,17 @@ def _at(data: bytes, at: int, more) -> tuple[int, dict[str, str], bytes] | None:
     """Record that begins at `at` of the range: its size in the file, fields and payload; None if there is none."""
     if data.startswith(MEMBER, at):
         machine, plain, taken = zlib.decompressobj(31), [], 0
-        piece = data[at:]
         while not machine.eof:
+            piece = data[at + taken : at + taken + PIECE] or more(at + taken, 1 << 20)
+            if not piece:
+                return None
             try:
                 plain.append(machine.decompress(piece))
             except zlib.error:
                 return None
+            if not taken and len(plain[0]) >= 7 and not plain[0].startswith(b"WARC/1."):
+                return None
             taken += len(piece)
-            if not machine.eof:
-                if sum(map(len, plain)) >= 7 and not b"".join(plain).startswith(b"WARC/1."):
-                    return None
-                piece = more(at + taken, 1 << 20)
-                if not piece:
-                    return None
         whole, size = b"".join(plain), taken - len(machine.unused_data)
         head = _header(whole)
         if head is None or len(whole) != head[1] + head[2] + len(END):
@@ -160,19 +165,20 @@ def _page_number(text: str) -> int | None:
     return int(found[1]) if found else None
 
 
-CANDIDATES = "path string, at long, to long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, sound boolean"
+CANDIDATES = "file long, path string, start long, at long, to long, leaves long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, sound boolean"
 
 
 def candidates(files: DataFrame, packed: bool = True, span: int = RANGE) -> DataFrame:
     """Every place that looks like a record: its offset, its successor's offset and what the record says."""
-    ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(span))).alias("start")).where("size > 0")
-    tasks = ranges.repartition("path", "start")
+    numbered = stage(files.where("size > 0").select(F.monotonically_increasing_id().alias("file"), "path", "size"))
+    ranges = numbered.select("file", "path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(span))).alias("start"))
+    tasks = ranges.repartition(min(MOST_TASKS, max(1, ranges.count())), "path", "start")
     magic = re.compile(re.escape(MEMBER) if packed else rb"WARC/1\.[01]\r\n")
     names = [f.split()[0] for f in CANDIDATES.split(", ")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for path, size, start in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+            for file, path, size, start in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
                 data = read_range(path, start, min(span, size - start) + 16)
                 out = []
                 for found in magic.finditer(data):
@@ -186,33 +192,47 @@ def candidates(files: DataFrame, packed: bool = True, span: int = RANGE) -> Data
                     digest = hashlib.sha256(payload).hexdigest() if kind == "response" else claimed
                     told = fields.get("warc-payload-length", "")
                     out.append((
-                        path, start + found.start(), start + found.start() + length, _page_number(fields.get("warc-record-id", "")),
+                        file, path, start, start + found.start(), start + found.start() + length, 0, _page_number(fields.get("warc-record-id", "")),
                         len(payload) if kind == "response" else int(told) if told.isdigit() else None, digest, kind,
                         _page_number(fields.get("warc-refers-to", "")), digest == claimed,
                     ))
-                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+                leaves: dict[int, int] = {}
+                for row in reversed(out):
+                    leaves[row[3]] = leaves.get(row[4], row[4])
+                out = [(*row[:5], leaves[row[3]], *row[6:]) for row in out]
+                types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
     return tasks.mapInArrow(run, CANDIDATES)
 
 
 def reached(links: DataFrame) -> DataFrame:
-    """Offsets on the chain from offset 0 of each file. `links`: path, at, to.
+    """Offsets on the chain from offset 0 of each file. `links`: file, at, to.
 
     Round k knows all offsets fewer than 2^k steps away and the jumps over 2^k steps.
     """
-    jumps = links.select("path", "at", "to")
-    known = stage(jumps.where("at = 0").select("path", "at"))
+    jumps = links.select("file", "at", "to")
+    known = stage(jumps.where("at = 0").select("file", "at"))
     count = known.count()
     while True:
-        further = known.join(jumps, ["path", "at"]).select("path", F.col("to").alias("at"))
+        further = known.join(jumps, ["file", "at"]).select("file", F.col("to").alias("at"))
         known = stage(known.unionByName(further).distinct())
         now = known.count()
         if now == count:
             return known
         count = now
-        second = jumps.select("path", F.col("at").alias("to"), F.col("to").alias("over"))
-        jumps = stage(jumps.join(second, ["path", "to"]).select("path", "at", F.col("over").alias("to")))
+        second = jumps.select("file", F.col("at").alias("to"), F.col("to").alias("over"))
+        jumps = stage(jumps.join(second, ["file", "to"]).select("file", "at", F.col("over").alias("to")))
+
+
+def _on_chain(rows: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of one range that the chain passes from where it enters."""
+    following = dict(zip(rows["at"], rows["to"], strict=True))
+    passed, at = set(), next(iter(rows["at"][rows["entered"]]), None)
+    while at in following:
+        passed.add(at)
+        at = following[at]
+    return rows[rows["at"].isin(passed)].drop(columns="entered")
 
 
 def read_archives(files: DataFrame, packed: bool = True, span: int = RANGE) -> DataFrame:
@@ -221,9 +241,12 @@ def read_archives(files: DataFrame, packed: bool = True, span: int = RANGE) -> D
     `sound` tells whether the payload has the digest its header claims.
     """
     found = stage(candidates(files, packed, span))
-    return found.join(reached(found), ["path", "at"], "left_semi").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "at", "sound"
-    )
+    doors = found.select("file", F.col("leaves").alias("at")).unionByName(found.select("file", F.lit(0).cast("long").alias("at"))).distinct()
+    links = stage(found.select("file", "at", F.col("leaves").alias("to")).join(doors, ["file", "at"], "left_semi"))
+    entered = reached(links).withColumn("entered", F.lit(True))
+    rows = found.drop("leaves").join(entered, ["file", "at"], "left").withColumn("entered", F.coalesce("entered", F.lit(False)))
+    chain = rows.groupBy("file", "start").applyInPandas(_on_chain, rows.drop("entered").schema)
+    return chain.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "at", "sound")
 
 
 def archive_round_trip(pages: DataFrame, folder: str, packed: bool = True) -> DataFrame:

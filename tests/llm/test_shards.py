@@ -31,6 +31,7 @@ def test_all_tokens_in_training_order(spark):
     cut = np.flatnonzero(np.array(have) == ranks.separator)
     documents = sorted(tuple(have[a:z]) for a, z in zip([0, *(cut + 1)], cut, strict=False))
     assert documents == sorted(tuple(shards.token_ids(ranks, t)[:-1].tolist()) for t in texts)
+    assert documents == sorted(tuple(ranks.encoding.encode_ordinary(t or "")) for t in texts)
     later = shards.read_shards(table, 64, from_slot=total - 57).collect()
     assert sorted(r.slot for r in later) == list(range(total - 57, total))
     path, first = table.where("shard = 1").select("path", "first_slot").first()

@@ -73,8 +73,8 @@ def test_members_in_stored_payloads_are_rejected(spark):
 
 
 def test_pointer_jumping(spark):
-    chain = [(p, i, i + 1) for p in "ab" for i in range(100)] + [("a", 1000, 50), ("b", 500, 501)]
-    links = spark.createDataFrame(chain, "path string, at long, to long")
+    chain = [(p, i, i + 1) for p in (1, 2) for i in range(100)] + [(1, 1000, 50), (2, 500, 501)]
+    links = spark.createDataFrame(chain, "file long, at long, to long")
     assert warc.reached(links).where("at < 100").count() == 200
     assert warc.reached(links).where("at >= 500").count() == 0
 
