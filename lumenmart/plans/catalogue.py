@@ -6,7 +6,7 @@ import importlib
 
 from lumenmart.plans import registry
 
-MODULES = ("market_queries", "decision_queries", "ownership_queries", "text_queries", "resolve_queries", "fact_queries", "ingest_queries", "serving_queries", "stream_queries", "view_queries")
+MODULES = ("market_queries", "decision_queries", "ownership_queries", "text_queries", "resolve_queries", "fact_queries", "ingest_queries", "serving_queries", "stream_queries", "view_queries", "run_queries")
 
 
 def _load() -> None:

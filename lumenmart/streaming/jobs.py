@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Optional
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenmart.operators import health, notify
+from lumenmart.operators import health, ingest, notify
 
 
 def read_feed(spark: SparkSession, folder: str, schema, pattern: Optional[str] = None, files_per_batch: int = 1000, kind: str = "parquet") -> DataFrame:
@@ -115,3 +115,22 @@ def incident_log(spark: SparkSession, path: str) -> DataFrame:
     """Problem checks with their incident number: for each source those of the last batch that touched it."""
     last = spark.read.parquet(f"{path}-touched").groupBy("source_id").agg(F.max("batch").alias("batch"))
     return spark.read.parquet(path).join(last, ["source_id", "batch"], "left_semi").drop("batch")
+
+
+def ingest_stream(records: DataFrame, sources: DataFrame, catalog: DataFrame, aliases: DataFrame, watches: DataFrame, path: str, checkpoint: str, now: Column) -> None:
+    """The whole ingest run per micro-batch; each batch writes the next version of the live table and its errors."""
+    spark = records.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        stored = spark.read.parquet(f"{path}/live/version={number - 1}") if number else None
+        done = ingest.run(batch, sources, catalog, aliases, watches, stored, now)
+        done.live.write.mode("overwrite").parquet(f"{path}/live/version={number}")
+        done.errors.write.mode("overwrite").parquet(f"{path}/errors/batch={number}")
+
+    records.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+
+
+def live_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of the live table."""
+    versions = spark.read.parquet(f"{path}/live")
+    return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
