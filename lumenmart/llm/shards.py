@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lumenmart.llm.bpe import PATTERN
 from lumenmart.llm.common import tune
 from lumenmart.llm.feistel import permute
 from lumenmart.llm.files import read_range, write_file
@@ -33,9 +35,6 @@ HEADER = "<qqI"
 HEADER_BYTES = struct.calcsize(HEADER)
 NO_ID = -(1 << 63)
 
-# Fixed value: the pattern that splits text before the merges of the rank files.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 
 def stride(sequence: int = SEQUENCE) -> int:
     return HEADER_BYTES + 2 * sequence
@@ -70,8 +69,9 @@ _ENCODINGS: dict[str, object] = {}
 
 def token_ids(ranks: Ranks, text: str | None) -> np.ndarray:
     """Ids of a text (null: none) and the separator."""
-    ids = ranks.encoding.encode_to_numpy(text) if text else np.zeros(0, np.uint32)
-    return np.append(ids, ranks.separator).astype("<u2")
+    ids = ranks.encoding.encode_ordinary(text or "")
+    ids.append(ranks.separator)
+    return np.frombuffer(array("H", ids), "<u2")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def split_counts(docs: DataFrame, ranks: Ranks) -> dict[int, int]:
         count = 0
         for part in parts:
             for text in part.column(1).to_pylist():
-                count += len(ranks.encoding.encode_to_numpy(text)) + 1 if text else 1
+                count += len(ranks.encoding.encode_ordinary(text or "")) + 1
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([count], pa.int64())], names=["split", "tokens"])
 
     return {r.split: r.tokens for r in _rows(docs).mapInArrow(run, "split int, tokens long").collect()}
@@ -180,7 +180,8 @@ def read_records(path: str, sequence: int, start: int, count: int) -> list[tuple
     return out
 
 
-READ = 512
+READ = 4096
+MOST_TASKS = 100_000
 
 
 def read_shards(shards: DataFrame, sequence: int = SEQUENCE, from_slot: int = 0) -> DataFrame:
@@ -198,5 +199,5 @@ def read_shards(shards: DataFrame, sequence: int = SEQUENCE, from_slot: int = 0)
                     pa.array([None if f[1] == NO_ID else f[1] for f in found], pa.int64()), pa.array([len(f[2]) for f in found], pa.int64()), pa.array([f[2].tobytes() for f in found], pa.binary()),
                 ], names=["slot", "shard", "sequence", "doc_id", "n_tokens", "ids"])
 
-    wanted = runs.select("shard", "path", "first_slot", "records", "start").repartition("shard", "start")
+    wanted = runs.select("shard", "path", "first_slot", "records", "start").repartition(min(MOST_TASKS, max(1, runs.count())), "shard", "start")
     return wanted.mapInArrow(run, "slot long, shard long, sequence long, doc_id long, n_tokens long, ids binary")
