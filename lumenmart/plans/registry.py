@@ -7,7 +7,7 @@ from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenmart.session import spread, stage, tune
+from lumenmart.session import ON_DROP, spread, stage, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,9 @@ def forget_shared() -> None:
     _SHARED.clear()
 
 
+ON_DROP.append(forget_shared)
+
+
 class Tables:
     """Lazy parquet scans of one data folder."""
 

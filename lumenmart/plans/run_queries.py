@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumenmart.operators import ingest
+from lumenmart.operators import ingest, resolve
 from lumenmart.plans import derived
 from lumenmart.plans.derived import OBS_SQL
 from lumenmart.plans.registry import Tables, query
@@ -100,3 +100,37 @@ def ingest_counters(tables: Tables) -> DataFrame:
     """Counters of the second run: records by outcome, sources, new and updated listings."""
     return _shared_run(tables, "counters").select(
         "run_id", "raw", "normalized", "relevant", "ignored", "errors", "sources_ok", "sources_failed", "status", "new", "updated")
+
+
+# Titles and descriptions of six kinds: product id, product name, negated id, both, and two kinds of bundles.
+_KIND = "p_partkey % 6"
+_OTHER = "cast((p_partkey + case when p_partkey % 6 = 4 then 1 else 2 end) % n as string)"
+_ID = "cast(p_partkey as string)"
+_TITLE = (
+    f"case {_KIND} when 0 then concat('Offer prod', {_ID}) when 1 then concat('Brandx  model', {_ID}, ' fine') when 2 then concat('this is not the prod', {_ID}) "
+    f"when 3 then concat('brandx-model', {_ID}) else concat('prod', {_ID}, ' and prod', {_OTHER}) end"
+)
+_DESCRIPTION = f"case when {_KIND} = 3 then concat('ref prod', {_ID}) else 'plain' end"
+_NAME_SCORE = resolve.BASE_SCORES["exact_model"] + resolve.ADJUSTMENTS["title"]
+
+
+@query(
+    "recognition_scores",
+    f"""with counted as (select p_partkey, p_partkey % 2 = 0 as camera, {_KIND} as kind, count(*) over () as n from part),
+rows as (select *, concat('prod', cast(p_partkey as varchar)) as own, case when kind = 4 then not camera else camera end as other_camera from counted)
+select p_partkey, case when kind in (0, 1, 3) or (kind = 4 and camera) then own end as product_id,
+  case kind when 1 then {_NAME_SCORE} when 2 then 0 else 100 end as recognition_confidence, kind = 5 or (kind = 4 and not camera) as ambiguous,
+  case when kind = 4 then case when camera then 'kit' else 'unclear kit' end when kind = 5 then case when camera then 'bodies' else 'lenses' end else 'single' end as structure,
+  case kind when 2 then 0 when 4 then 2 when 5 then 2 else 1 end as candidates from rows""",
+)
+def recognition_scores(tables: Tables) -> DataFrame:
+    """Recognition of texts with ids, names, negations and bundles: product, score, ambiguity, structure, candidates."""
+    size = tables.part.count()
+    category = F.when(F.col("p_partkey") % 2 == 0, "Camera").otherwise("Lens")
+    products = product_catalog(tables).drop("category").withColumn("p_partkey", F.substring("product_id", 5, 18).cast("long")).withColumn("category", category).drop("p_partkey")
+    texts = tables.part.select("p_partkey", F.lit(size).alias("n")).selectExpr(f"{_ID} as listing_id", f"{_TITLE} as title", f"{_DESCRIPTION} as description")
+    ranked, chosen = resolve.recognize(texts, products, tables.spark.createDataFrame([], "product_id string, alias string"))
+    places = ranked.groupBy("listing_id").agg(F.max("place").alias("candidates"))
+    return chosen.join(places, "listing_id", "left").select(
+        F.col("listing_id").cast("long").alias("p_partkey"), "product_id", "recognition_confidence", "ambiguous", "structure",
+        F.coalesce("candidates", F.lit(0)).alias("candidates"))

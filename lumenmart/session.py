@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -52,6 +53,8 @@ def checkpoint_directory(spark: SparkSession) -> str:
 
 
 _STAGED: list[str] = []
+# called when staged tables go, so that nobody keeps a frame over deleted files
+ON_DROP: list[Callable[[], None]] = []
 
 
 def stage_observed(frame: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
@@ -76,6 +79,8 @@ def stage(frame: DataFrame) -> DataFrame:
 
 def drop_staged(spark: SparkSession) -> None:
     """Remove the staged tables this process wrote; call when results were consumed."""
+    for forget in ON_DROP:
+        forget()
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     while _STAGED:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
