@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenmart.functions import text
 from lumenmart.operators.decision import defect_invalid, defects_or_empty
@@ -146,12 +146,15 @@ MAPPING_KEYS = (
     "segment", "condition", "detected_at", "header_environment", "price_extraction",
 )
 SOURCE_TYPES = ("JSON_FEED", "RSS_FEED", "FILE_IMPORT", "MANUAL_URL")
+PRICE_KEYS = ("currency_symbol", "currency_code", "decimal_separator", "thousands_separator")
+PART_LIMIT = 20
 
 
 def source_config(mapping: str = "mapping") -> list[Column]:
     """Checks of a configured source; ``mapping`` is a map<string,string>."""
     unknown = F.array_except(F.map_keys(F.col(mapping)), F.array(*[F.lit(key) for key in MAPPING_KEYS]))
     return [
+        check("source_type", "domain", ~F.coalesce(F.col("source_type").isin(*SOURCE_TYPES), F.lit(False))),
         check("segment", "domain", ~F.col("segment").isin("NEW", "USED")),
         check("country", "two capitals", ~F.col("country").rlike("^[A-Z]{2}$")),
         check("currency", "three capitals", ~F.col("currency").rlike("^[A-Z]{3}$")),
@@ -159,6 +162,19 @@ def source_config(mapping: str = "mapping") -> list[Column]:
     ]
 
 
+def price_format(field: str = "price_extraction") -> list[Column]:
+    """Checks of a price format, a map<string,string> of short literal parts; no free patterns."""
+    keys, parts = F.map_keys(F.col(field)), F.map_values(F.col(field))
+    unknown = F.array_except(keys, F.array(*[F.lit(key) for key in PRICE_KEYS]))
+    missing = F.array_except(F.array(*[F.lit(key) for key in PRICE_KEYS]), keys)
+    long = F.filter(parts, lambda part: F.length(part) > PART_LIMIT)
+    return [
+        check(field, "unknown price key", F.size(unknown) > 0, F.array_join(F.array_sort(unknown), ",")),
+        check(field, "missing price key", F.col(field).isNotNull() & (F.size(missing) > 0), F.array_join(F.array_sort(missing), ",")),
+        check(field, f"part over {PART_LIMIT} characters", F.size(long) > 0, F.array_join(F.array_sort(long), ",")),
+    ]
+
+
 def defects_valid(field: str = "defects") -> Column:
     return check(field, "invalid defect", F.exists(defects_or_empty(field), defect_invalid), F.size(F.col(field)))
 
@@ -170,15 +186,25 @@ def listing_rules() -> list[Column]:
     return [required(field) for field in REQUIRED_LISTING]
 
 
-def accepted_listings(listings: DataFrame, order: Column) -> DataFrame:
-    """Complete-enough listings, the first per connector and case-folded id."""
-    broken = F.lit(False)
-    for field in REQUIRED_LISTING:
-        broken = broken | (F.coalesce(F.trim(F.col(field).cast("string")), F.lit("")) == "")
-    valid = listings.where(~broken)
-    first = valid.groupBy(F.lower("connector_name").alias("connector_key"), F.lower("external_id").alias("id_key")).agg(
-        F.min_by(F.struct(*listings.columns), order).alias("row"))
+def accepted_listings(listings: DataFrame, order: Column, connector: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, violations): complete-enough listings, the first per connector and case-folded id, and why others are not.
+
+    With ``connector``, the name a row must carry, rows of another connector are violations too. Every row left
+    out has at least one violation row. Accepted rows tell whether an optional field is missing (``incomplete``).
+    """
+    rules = listing_rules()
+    if connector is not None:
+        rules.append(check("connector_name", "wrong connector", ~F.lower("connector_name").eqNullSafe(F.lower(connector))))
+    keyed = listings.withColumn("_found", F.array_compact(F.array(*rules)))
+    valid = keyed.where(F.size("_found") == 0).withColumn("_order", order)
+    place = Window.partitionBy(F.lower("connector_name"), F.lower("external_id")).orderBy("_order")
+    placed = valid.withColumn("_place", F.row_number().over(place))
+    broken = keyed.where(F.size("_found") > 0).select(F.col("external_id").cast("string").alias("row_key"), F.explode("_found").alias("v"))
+    repeated = placed.where("_place > 1").select(F.col("external_id").cast("string").alias("row_key"), F.struct(
+        F.lit("external_id").alias("field"), F.lit("repeated id").alias("rule"), F.col("external_id").cast("string").alias("value")).alias("v"))
     optional = F.col("price").isNull()
     for field in ("condition", "location", "seller", "description"):
         optional = optional | (F.coalesce(F.col(field).cast("string"), F.lit("")) == "")
-    return first.select("row.*").withColumn("incomplete", optional)
+    accepted = placed.where("_place = 1").drop("_found", "_order", "_place").withColumn("incomplete", optional)
+    found = broken.unionByName(repeated).select(F.lit("listings").alias("table"), "row_key", "v.field", "v.rule", "v.value")
+    return accepted, found

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lumenmart.functions import text
-from lumenmart.operators import health, listings, memory, notify, serve
+from lumenmart.operators import contracts, health, listings, memory, notify, serve
 from lumenmart.plans import derived
 from lumenmart.plans.decision_queries import _MONTHS_SQL, DECISION_SQL as LISTING_DECISION_SQL, decisions
-from lumenmart.plans.derived import AS_OF, CATALOG_SQL, DECISION_SQL, DUCK_HEALTH, OWNED_SQL, WATCH_SQL
+from lumenmart.plans.derived import AS_OF, CATALOG_SQL, DECISION_SQL, DUCK_HEALTH, OBS_SQL, OWNED_SQL, WATCH_SQL
 from lumenmart.plans.market_queries import _SNAPSHOT
 from lumenmart.plans.ingest_queries import _ORDERED, checks
 from lumenmart.plans.registry import Tables, query
@@ -144,3 +144,104 @@ def listing_structure(tables: Tables) -> DataFrame:
     kind = F.when(F.col("cameras") > 1, "bodies").when((F.col("cameras") > 0) & (F.col("lenses") > 0), "kit").when(
         (F.col("cameras") == 0) & (F.col("lenses") > 1), "lenses").otherwise("single")
     return per.groupBy(kind.alias("structure")).agg(F.count(F.lit(1)).alias("orders"))
+
+
+_NAMES_SQL = f"names as (select product_id, concat_ws(' ', nullif(brand, ''), nullif(model, ''), nullif(version, '')) as product_name from ({CATALOG_SQL}))"
+
+
+@query(
+    "wishlist_rows",
+    f"with {_NAMES_SQL} select watch_id, w.product_id, coalesce(product_name, w.product_id) as product_name, priority, max_price, active from ({WATCH_SQL}) w left join names using (product_id)",
+)
+def wishlist_rows(tables: Tables) -> DataFrame:
+    """Watches with the name of their product."""
+    return serve.wishlist_view(derived.watches(tables), derived.catalog(tables)).select(
+        "watch_id", "product_id", "product_name", "priority", "max_price", "active")
+
+
+@query(
+    "inventory_rows",
+    f"with {_NAMES_SQL} select item_id, o.product_id, coalesce(product_name, o.product_id) as product_name, purchase_price, active from ({OWNED_SQL}) o left join names using (product_id)",
+)
+def inventory_rows(tables: Tables) -> DataFrame:
+    """Owned items with the name of their product, without private columns."""
+    items = derived.owned(tables).withColumns({"serial_reference": F.lit("x"), "notes": F.lit("y")})
+    shown = serve.inventory_view(items, derived.catalog(tables))
+    kept = [name for name in ("item_id", "product_id", "product_name", "purchase_price", "active", "serial_reference", "notes") if name in shown.columns]
+    return shown.select(*kept)
+
+
+@query(
+    "latest_run",
+    "select strftime(date_trunc('hour', max(ts)), '%Y-%m-%d %H') as run_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as started_at from events",
+)
+def latest_run(tables: Tables) -> DataFrame:
+    """The run that started last; every hour of events is a run, started by its last event."""
+    stamp = F.col("ts").cast("timestamp")
+    runs = tables.events.groupBy(F.date_format(F.date_trunc("hour", stamp), "yyyy-MM-dd HH").alias("run_id")).agg(F.max(stamp).alias("started_at"))
+    return health.latest_run(runs).select("run_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"))
+
+
+@query(
+    "live_listing_filters",
+    f"with obs as ({OBS_SQL}) select source_country, currency, count(*) as listings from obs where source = 'S3' and segment = 'USED' and recognition_confidence >= 90 group by all",
+)
+def live_listing_filters(tables: Tables) -> DataFrame:
+    """Active used listings of one source, whatever the case of the filter values."""
+    rows = derived.observations(tables).withColumn("active", F.col("recognition_confidence") >= 90)
+    found = serve.filter_listings(rows, active=True, source="s3", segment="Used")
+    return found.groupBy("source_country", "currency").agg(F.count(F.lit(1)).alias("listings"))
+
+
+NEWEST = 50
+
+
+@query(
+    "newest_listings",
+    f"with obs as ({OBS_SQL}) select listing_id, row_number() over (order by observed_at desc, listing_id desc) as place from obs qualify place <= {NEWEST}",
+)
+def newest_listings(tables: Tables) -> DataFrame:
+    """The newest listings, a report of fixed length."""
+    rows = derived.observations(tables).withColumn("last_seen_at", F.col("observed_at"))
+    top = serve.newest_listings(rows).limit(NEWEST).select("listing_id", "last_seen_at")
+    order = Window.orderBy(F.desc("last_seen_at"), F.desc("listing_id"))
+    return top.select("listing_id", F.row_number().over(order).alias("place"))
+
+
+REQUESTED = ("7", "3", "7", "11")
+
+
+@query(
+    "requested_comparison",
+    f"with {_NAMES_SQL}, asked as (select * from (values ('7', 1), ('3', 2), ('11', 3)) a(product_id, request_order)) select product_id, product_name, request_order from asked join names using (product_id)",
+)
+def requested_comparison(tables: Tables) -> DataFrame:
+    """Requested products once each, in the order they were asked for."""
+    products = derived.catalog(tables).select("product_id", serve.display_name().alias("product_name"))
+    return serve.requested_products(products, REQUESTED)
+
+
+_LISTED_SQL = (
+    "select case when l_linenumber = 4 then '' else concat(case when l_linenumber = 5 then 'DUP-' else 'dup-' end, cast(l_orderkey as {text})) end as external_id, "
+    "case when l_linenumber = 6 then null else cast(l_suppkey as {text}) end as url, 'S' as source, 'T' as title, 'EUR' as currency, "
+    "case when l_linenumber = 7 then 'other' else 'feed' end as connector_name, l_linenumber, l_orderkey, "
+    "case when l_linenumber % 2 = 0 then null else l_extendedprice end as price, 'used' as condition, 'x' as location, 'y' as seller, 'z' as description from lineitem"
+)
+_LISTED_DUCK = _LISTED_SQL.format(text="varchar")
+
+
+@query(
+    "listing_contract",
+    f"""with raw as ({_LISTED_DUCK}), flagged as (select *, external_id = '' as no_id, url is null as no_url, connector_name <> 'feed' as wrong from raw),
+placed as (select *, row_number() over (partition by lower(external_id) order by l_linenumber) as place from flagged where not (no_id or no_url or wrong)),
+found as (select 'external_id' as field, 'required' as rule, count(*) as n from flagged where no_id union all select 'url', 'required', count(*) from flagged where no_url
+  union all select 'connector_name', 'wrong connector', count(*) from flagged where wrong union all select 'external_id', 'repeated id', count(*) from placed where place > 1
+  union all select 'accepted', case when price is null then 'incomplete' else 'complete' end, count(*) from placed where place = 1 group by price is null)
+select field, rule, n from found where n > 0""",
+)
+def listing_contract(tables: Tables) -> DataFrame:
+    """Connector rows by outcome: violations per rule, accepted ones complete or not."""
+    raw = tables.spark.sql(_LISTED_SQL.format(text="string").replace("from lineitem", "from {base}"), base=tables.lineitem)
+    accepted, found = contracts.accepted_listings(raw, F.col("l_linenumber"), F.lit("Feed"))
+    kinds = accepted.select(F.lit("accepted").alias("field"), F.when(F.col("incomplete"), "incomplete").otherwise("complete").alias("rule"))
+    return found.select("field", "rule").unionByName(kinds).groupBy("field", "rule").agg(F.count(F.lit(1)).alias("n"))

@@ -215,3 +215,16 @@ def test_sources_config(spark, tmp_path):
     from lumenmart.operators import contracts
     found = contracts.violations(scans.load_sources(spark, str(tmp_path / "s.json")), "sources", F.col("source_id"), contracts.source_config())
     assert [(r.field, r.rule, r.value) for r in found.collect()] == [("mapping", "unknown mapping key", "price_regex")]
+
+
+def test_source_type_and_price_format_rules(spark):
+    from lumenmart.operators import contracts
+    schema = "source_id string, source_type string, segment string, country string, currency string, mapping map<string,string>, price_extraction map<string,string>"
+    good = {"currency_symbol": "€", "currency_code": "EUR", "decimal_separator": ",", "thousands_separator": "."}
+    rows = spark.createDataFrame([
+        ("a", "JSON_FEED", "NEW", "IT", "EUR", {}, good), ("b", "FTP", "NEW", "IT", "EUR", {}, None), ("c", None, "OLD", "it", "EU", {}, {"regex": "x" * 21, **good}),
+        ("d", "RSS_FEED", "USED", "IT", "EUR", {}, {"currency_code": "EUR"})], schema)
+    found = contracts.violations(rows, "sources", F.col("source_id"), [*contracts.source_config(), *contracts.price_format()])
+    assert sorted((r.row_key, r.field, r.rule) for r in found.collect()) == [
+        ("b", "source_type", "domain"), ("c", "country", "two capitals"), ("c", "currency", "three capitals"), ("c", "price_extraction", "part over 20 characters"),
+        ("c", "price_extraction", "unknown price key"), ("c", "segment", "domain"), ("c", "source_type", "domain"), ("d", "price_extraction", "missing price key")]
