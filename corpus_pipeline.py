@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenmart.llm.common import stage
 from lumenmart.llm.stages import deduplicate, mix_sources, near_deduplicate, reject_toxic, tokenize
 
 STAGES = [
@@ -16,8 +17,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents table."""
+    """Apply all stages to the documents table; each stage reads what the one before wrote to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for place, (_, step) in enumerate(STAGES, 1):
+        docs = step(spark, docs, sf_dir)
+        docs = docs if place == len(STAGES) else stage(docs)
     return docs
