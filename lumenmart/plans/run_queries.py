@@ -8,6 +8,7 @@ from lumenmart.operators import ingest, resolve
 from lumenmart.plans import derived
 from lumenmart.plans.derived import OBS_SQL
 from lumenmart.plans.registry import Tables, query
+from lumenmart.session import ON_DROP
 
 # The same text on both sides. Line numbers 6 and 7 (confidence 75 and 70) carry faults.
 _FEED_COLUMNS = (
@@ -62,15 +63,16 @@ def two_runs(tables: Tables) -> tuple[DataFrame, ingest.Run]:
     return first.live, ingest.run(records.drop("recognition_confidence"), sources, catalog, aliases, watches, first.live, now)
 
 
-def _shared_run(tables: Tables, part: str) -> DataFrame:
-    def live(t: Tables) -> DataFrame:
-        return two_runs(t)[1].live
+_RUNS: dict[tuple, tuple[DataFrame, ingest.Run]] = {}
+ON_DROP.append(_RUNS.clear)
 
-    def counted(t: Tables) -> DataFrame:
-        stored, done = two_runs(t)
-        return ingest.counters(done, stored, "run-2")
 
-    return tables.shared(f"ingest-{part}", {"live": live, "counters": counted}[part])
+def _both(tables: Tables) -> tuple[DataFrame, ingest.Run]:
+    """The two runs, done once per session and folder; they rest on staged tables."""
+    key = (tables.spark.sparkContext.applicationId, tables.folder)
+    if key not in _RUNS:
+        _RUNS[key] = two_runs(tables)
+    return _RUNS[key]
 
 
 @query(
@@ -83,8 +85,7 @@ def _shared_run(tables: Tables, part: str) -> DataFrame:
 )
 def ingest_run(tables: Tables) -> DataFrame:
     """Live listings after two runs over the feed: recognized, read, watched, redacted, merged by key."""
-    live = _shared_run(tables, "live")
-    return live.select(
+    return _both(tables)[1].live.select(
         "duplicate_key", "product_id", "recognition_confidence", "title", "description", "price", "currency", "source_country", "segment",
         F.date_format("detected_at", "yyyy-MM-dd").alias("detected_at"), "shutter_count",
         F.exists("warnings", lambda w: F.contains(w, F.lit("personal data"))).alias("redacted"))
@@ -98,7 +99,8 @@ select 'run-2' as run_id, raw, normalized, relevant, normalized - relevant as ig
 )
 def ingest_counters(tables: Tables) -> DataFrame:
     """Counters of the second run: records by outcome, sources, new and updated listings."""
-    return _shared_run(tables, "counters").select(
+    stored, done = _both(tables)
+    return ingest.counters(done, stored, "run-2").select(
         "run_id", "raw", "normalized", "relevant", "ignored", "errors", "sources_ok", "sources_failed", "status", "new", "updated")
 
 
