@@ -22,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lumenmart.llm.common import spread
+from lumenmart.llm.common import lean, spread
 
 SHORT = 192
-MEMORY = 400_000
+MEMORY = 250_000
 NO_RANK = 1 << 40
 
 # The word pattern of the byte-level tokenizer.
@@ -173,7 +173,7 @@ def _batches(frame: DataFrame, text_col: str, added: T.StructType, make) -> Data
             columns = make(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *columns], names=schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(lean(run), schema)
 
 
 def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenmart.llm.common import plain, row_key, spread, stage, tune
+from lumenmart.llm.common import lean, plain, row_key, spread, stage, tune
 
 FOLDS, HELD_FOLD = 7, 2
 VOCABULARY = 131_072
@@ -71,7 +71,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         if counts:
             yield out()
 
-    return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -94,9 +94,6 @@ class Head:
         return np.array([get(w, rare) for w in words] + [self.end], dtype=np.int64), words
 
 
-_HEADS: dict[int, Head] = {}
-
-
 class Sent:
     """A broadcast value that each worker unpacks once."""
 
@@ -146,7 +143,7 @@ def word_pairs(train: DataFrame, sent: Sent, most: int) -> DataFrame:
         if held:
             yield out()
 
-    return train.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(lean(run), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _x_log_x(x: np.ndarray) -> np.ndarray:
@@ -268,7 +265,7 @@ def _adopted(train: DataFrame, sent: Sent, classes: np.ndarray, table: np.ndarra
         ])
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(best)], names=["word", "class"])
 
-    rows = train.select("text").mapInArrow(run, "word int, cells binary, counts binary").repartition(max(1, min(256, (total - m) // 512)), "word")
+    rows = train.select("text").mapInArrow(lean(run), "word int, cells binary, counts binary").repartition(max(1, min(256, (total - m) // 512)), "word")
     everything = np.concatenate((classes, np.arange(max(0, total - m)) % k))
     for r in rows.mapInArrow(fit, "word long, class long").collect():
         everything[r.word] = r["class"]
@@ -391,7 +388,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             nothing, zero = pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n))
             yield pa.RecordBatch.from_arrays([pa.array(rare[0], pa.int64()), pa.array(rare[1], pa.int64()), pa.array(rare[2], pa.binary()), pa.array(rare[3], pa.int64()), pa.array(rare[4], pa.float64()), nothing, nothing, nothing, zero, zero], names=names)
 
-    parts = stage(docs.select(*row_key(), "text").mapInArrow(run, SCORED))
+    parts = stage(docs.select(*row_key(), "text").mapInArrow(lean(run), SCORED))
     times, c = F.col("m").cast("double"), F.coalesce("c", F.lit(0))
     looked = parts.where("word is not null").select("doc_id", "text_key", "word", "m", "other").join(model.counts, "word", "left")
     rare = looked.groupBy("doc_id", "text_key").agg(

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lumenmart.llm.common import plain, small_slices, spread, stage, tune
+from lumenmart.llm.common import lean, plain, small_slices, spread, stage, tune
 from lumenmart.llm.suffix_levels import filter_bit, filter_words
 from lumenmart.operators.dedupe import connected_keys
 
@@ -37,7 +37,7 @@ RECALL = 0.99999
 #: Equal minhashes of a candidate pair: five standard deviations below what the least similarity gives, rounded down.
 AGREE = 35
 #: Bytes of text hashed at once.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, dtype=bool)
@@ -149,7 +149,7 @@ def described(docs: DataFrame, words: int) -> DataFrame:
                 pa.array([sketch(s, functions).tobytes() if len(s) else None for s in sets], pa.binary()),
             ], names=["doc_id", "set_id", "n", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, n long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, set_id binary, n long, sketch binary")
 
 
 def _paths(rows: DataFrame, roots: int | None) -> DataFrame:
@@ -272,7 +272,7 @@ def _per_bucket(rows: DataFrame, columns: tuple[str, ...], make: Callable[[list[
         if held:
             yield done()
 
-    return rows.select(*columns).repartition(*BUCKET).sortWithinPartitions(*BUCKET, "set_id").mapInArrow(run, schema)
+    return rows.select(*columns).repartition(*BUCKET).sortWithinPartitions(*BUCKET, "set_id").mapInArrow(lean(run), schema)
 
 
 def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, small: int = SMALL, depth: int = DEPTH, agree: int = AGREE) -> DataFrame:
@@ -307,7 +307,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, small: int = SMA
                         grams.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(grams, pa.binary())], names=["set_id", "grams"])
 
-    texts = docs.select("text").mapInArrow(exact, "set_id binary, grams binary").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+    texts = docs.select("text").mapInArrow(lean(exact), "set_id binary, grams binary").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
     full = chosen.join(about, "set_id").join(texts, "set_id")
 
     def verify(rows: list[dict]) -> list[tuple]:

@@ -21,7 +21,7 @@ from lumenmart.llm.common import BLANK, plain, scratch, spread, stage, tune
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # no space reserved ahead of the logs: there is one store per shuffle partition
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",

@@ -29,7 +29,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenmart.llm.common import fold, plain, row_key, scratch, spread, stage, tune
+from lumenmart.llm.common import fold, lean, plain, row_key, scratch, spread, stage, tune
 
 LENGTH = 200
 GRAM = 32
@@ -247,7 +247,7 @@ def _pieces(docs: DataFrame, words, length: int) -> DataFrame:
                 nothing.cast(pa.int32()), pa.array([v[0] for v in once.values()], pa.int64()), pa.array([v[1] for v in once.values()], pa.binary()),
             ], names=_NAMES)
 
-    return docs.select(*row_key(), "text").mapInArrow(run, PIECES)
+    return docs.select(*row_key(), "text").mapInArrow(lean(run), PIECES)
 
 
 _NAMES = [field.split()[0] for field in PIECES.split(", ")]
@@ -317,7 +317,7 @@ def _covered_together(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield done(held)
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, context long, spans array<int>")
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "key long, context long, spans array<int>")
 
 
 def _covered_apart(contexts: DataFrame, length: int) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lumenmart.llm.common import spread, stage, tune
+from lumenmart.llm.common import lean, spread, stage, tune
 
 #: Most labelled rows of each class that dictionaries and calibration use: the smallest hashes of the ids.
 SAMPLE = {1: 4000, 0: 8000}
@@ -31,7 +31,8 @@ ORDINARY_BYTES = 16_384
 TOXIC_WORDS = (16, 32, 64, 128, 256, 512)
 MIN_DOCUMENTS, MIN_EVIDENCE = 3, 12.0
 REPEAT = 3
-MEMORY = 400_000
+#: Windows, or counted words, that a worker holds at once.
+MEMORY = 200_000
 #: Lengths of word beginnings that may enter the toxic dictionary beside whole words.
 BEGINNINGS = (4, 5, 6)
 #: Rows whose texts begin, end or go on alike for so many characters count once for the dictionaries: copies prove nothing.
@@ -102,8 +103,7 @@ _GAINS: dict[int, Gains] = {}
 
 def gains_of(model: Model) -> Gains:
     if model.key not in _GAINS:
-        if len(_GAINS) > len(TOXIC_WORDS):
-            _GAINS.clear()
+        _GAINS.clear()
         _GAINS[model.key] = Gains(model)
     return _GAINS[model.key]
 
@@ -159,7 +159,7 @@ def _document_counts(sample: DataFrame) -> DataFrame:
         if counts:
             yield out()
 
-    return sample.select("text", "label").mapInArrow(run, "word binary, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    return sample.select("text", "label").mapInArrow(lean(run), "word binary, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 def _evidence(toxic: Column, ordinary: Column, n_toxic: int, n_ordinary: int) -> Column:
@@ -229,15 +229,16 @@ def _calibrated(sample: DataFrame, models: list[Model]) -> Model:
     steps = range(2, 7)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = [Gains(m) for m in models]
         for part in parts:
             out = []
             for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 words = windows(text)
-                gains = [gains_of(m).of(words) for m in models]
+                gains = [m.of(words) for m in machines]
                 out.append((label, [x for g in gains for t in steps for x in features(g, t)]))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.float64()))], names=["label", "x"])
 
-    rows = spread(sample.select("text", "label")).mapInArrow(run, "label int, x array<double>").collect()
+    rows = spread(sample.select("text", "label")).mapInArrow(lean(run), "label int, x array<double>").collect()
     rows.sort(key=lambda r: (r.label, r.x))
     y, every = np.array([r.label for r in rows], dtype=float), np.array([r.x for r in rows]).reshape(len(rows), len(models), len(steps), 5)
     best, lowest = models[0], math.inf
@@ -270,8 +271,9 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
             x = np.array([features(gains_of(own).of(windows(t or "")), own.threshold) for t in texts]).reshape(len(texts), 5)
             p = own.probability(x)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
+        gains_of(own).known.clear()
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(lean(run), schema)
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
