@@ -31,7 +31,7 @@ WORDS = 5
 SIMILARITY = (4, 5)
 SKETCH = 64
 BRANCH = 2
-SMALL = 1024
+SMALL = 2048
 DEPTH = 3
 RECALL = 0.99999
 #: Equal minhashes of a candidate pair: five standard deviations below what the least similarity gives, rounded down.
