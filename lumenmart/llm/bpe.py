@@ -196,6 +196,19 @@ def decode(tokens: DataFrame, vocabulary_path: str, ids_col: str = "ids", out_co
     )
 
 
+def transcode(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
+    """Add ids, n_tokens and decoded (the text decoded from the ids) in one pass, hence with one worker per task."""
+    spec = _Spec(docs.sparkSession, vocabulary_path)
+    added = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
+
+    def make(texts):
+        codec = codec_of(spec)
+        ids = [codec.encode(t or "") for t in texts]
+        return [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([codec.decode(i) for i in ids], pa.string())]
+
+    return _batches(docs, text_col, added, make)
+
+
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 

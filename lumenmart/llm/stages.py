@@ -56,6 +56,5 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the digest of the decoded text of every document."""
     tune(spark)
-    path = vocabulary_path()
-    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    return bpe.decode(tokens, path).select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    tokens = bpe.transcode(docs.select("doc_id", "lang", "source", "text"), vocabulary_path())
+    return tokens.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
