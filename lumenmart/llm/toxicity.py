@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lumenmart.llm.common import lean, spread, stage, tune
+from lumenmart.llm.common import BLANK, lean, spread, stage, tune
 
 #: Most labelled rows of each class that dictionaries and calibration use: the smallest hashes of the ids.
 SAMPLE = {1: 4000, 0: 8000}
@@ -35,8 +35,6 @@ REPEAT = 3
 MEMORY = 200_000
 #: Lengths of word beginnings that may enter the toxic dictionary beside whole words.
 BEGINNINGS = (4, 5, 6)
-#: Rows whose texts begin, end or go on alike for so many characters count once for the dictionaries: copies prove nothing.
-OPENING = 48
 STRIP = b".,;:!?\"'()[]"
 
 
@@ -201,6 +199,12 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     return stage(rows.select("text", "label", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(3)).alias("fold")))
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """One row of each label and whole text, but for case and blanks: copies prove nothing."""
+    whole = F.sha2(F.trim(F.regexp_replace(F.lower("text"), BLANK, " ")), 256)
+    return rows.groupBy("label", whole).agg(F.min("text").alias("text")).select("text", "label")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model | None:
     """Dictionaries and calibration; None where a class has no labelled row."""
     sample = _sample(docs, labels, id_col)
@@ -209,10 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model | N
         sizes[r.label, r.fitting] = r["count"]
     if not (sizes.get((0, True)) and sizes.get((1, True)) and sizes.get((0, False)) and sizes.get((1, False))):
         return None
-    distinct = sample.where("fold > 0").select("text", "label")
-    for edge in (F.substring("text", 1, OPENING), F.substring("text", -OPENING, OPENING), F.substring("text", 2 * OPENING, OPENING)):
-        distinct = distinct.groupBy(edge).agg(F.max(F.struct("label", "text")).alias("row")).select("row.text", "row.label")
-    distinct = stage(distinct)
+    distinct = stage(_distinct(sample.where("fold > 0")))
     of = {r.label: r["count"] for r in distinct.groupBy("label").count().collect()}
     counts = stage(_document_counts(distinct))
     ordinary = [bytes(r.word) for r in counts.orderBy(F.desc("ordinary"), "word").limit(4096).collect()]

@@ -63,3 +63,28 @@ def test_features():
     assert toxicity.features(np.array([], dtype=int), 3) == [0.0] * 5
     assert toxicity.features(np.array([4, 1, 5]), 4)[:3] == [5.0, 4.0, 1.0]
     assert toxicity.features(np.array([2]), 4)[:3] == [2.0, 0.0, 0.0]
+
+
+def _short(spark, header=""):
+    """Short messages of distinct texts: every third one abuses somebody."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(900):
+        words = [f"w{n}" for n in rng.integers(0, 400, 6)]
+        if i % 3 == 0:
+            words[2:2] = ["idiot", "moron"]
+        rows.append((i, header + " ".join(words), int(i % 3 == 0)))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+@pytest.mark.parametrize("header", ["", "a header that every text of one busy source begins with: "])
+def test_short_texts_and_common_headers_train_the_dictionaries(spark, header):
+    docs = _short(spark, header)
+    assert toxicity._distinct(docs.select("text", F.col("toxic").alias("label"))).count() == docs.select("text", "toxic").distinct().count()
+    rows = toxicity.scored_documents(docs, docs).join(docs, "doc_id").where("held_out").collect()
+    assert all(r.predicted == r.toxic for r in rows) and {r.toxic for r in rows} == {0, 1}
+
+
+def test_copies_count_once_per_label(spark):
+    rows = spark.createDataFrame([("A  b", 0), ("a b\n", 0), ("a b", 1), ("", 0), ("", 1), ("c", 1)], "text string, label int")
+    assert sorted((r.label, r.text.lower().split()) for r in toxicity._distinct(rows).collect()) == [(0, []), (0, ["a", "b"]), (1, []), (1, ["a", "b"]), (1, ["c"])]
