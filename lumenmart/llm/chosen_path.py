@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenmart.llm.common import lean, plain, small_slices, spread, stage, tune
 from lumenmart.llm.suffix_levels import filter_bit, filter_words
@@ -138,18 +138,19 @@ def _set_id(grams: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """Per row: doc_id, set_id (null without words), n, sketch."""
-    functions = _functions()
+    """Per row: doc_id (and text_key, where `docs` has it), set_id (null without words), n, sketch."""
+    functions, named = _functions(), [c for c in ("doc_id", "text_key") if c in docs.columns]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (small for whole in parts for small in small_slices(whole, "text", TOGETHER)):
             sets = list(shingle_sets(_column(part, "text"), words))
             yield pa.RecordBatch.from_arrays([
-                _column(part, "doc_id"), pa.array([_set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                *(_column(part, c) for c in named), pa.array([_set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([sketch(s, functions).tobytes() if len(s) else None for s in sets], pa.binary()),
-            ], names=["doc_id", "set_id", "n", "sketch"])
+            ], names=[*named, "set_id", "n", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, set_id binary, n long, sketch binary")
+    schema = ", ".join({"doc_id": "doc_id long", "text_key": "text_key binary"}[c] for c in named)
+    return docs.select(*named, "text").mapInArrow(lean(run), f"{schema}, set_id binary, n long, sketch binary")
 
 
 def _paths(rows: DataFrame, roots: int | None) -> DataFrame:
@@ -317,6 +318,18 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, small: int = SMA
     return _per_bucket(full, (*columns, "grams"), verify, "set_id binary, n_links long, other binary")
 
 
+def _by_class(rows: DataFrame, least: Column, words: int, small: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The described rows; and per set its component, the smallest `least` of its rows, n_links (null without links) and n_copies."""
+    members = stage(described(rows, words))
+    sets = stage(members.where("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(least).alias("least"), F.count(F.lit(1)).alias("n_copies")))
+    found = stage(links(rows, sets, words, small, depth))
+    counts = found.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
+    edges = found.where("other is not null").select(F.col("set_id").alias("a"), F.col("other").alias("b"))
+    component = connected_keys(edges).select(F.col("key").alias("set_id"), "component")
+    named = sets.select("set_id", "least", "n_copies").join(counts, "set_id", "left").join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    return members, named
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, n_copies.
 
@@ -326,16 +339,23 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the rows with the same set. Rows without words stand alone, as their own class. An empty table has no rows.
     """
     tune(docs.sparkSession)
-    rows = spread(plain(docs, id_col, text_col))
-    members = stage(described(rows, words))
-    sets = stage(members.where("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies")))
-    found = stage(links(rows, sets, words, small, depth))
-    counts = found.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
-    edges = found.where("other is not null").select(F.col("set_id").alias("a"), F.col("other").alias("b"))
-    component = connected_keys(edges).select(F.col("key").alias("set_id"), "component")
-    named = sets.select("set_id", "least", "n_copies").join(counts, "set_id", "left").join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    members, named = _by_class(spread(plain(docs, id_col, text_col)), F.col("doc_id"), words, small, depth)
     smallest = named.groupBy("component").agg(F.min("least").alias("class_id"))
     per_set = stage(named.join(smallest, "component").select("set_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
     with_words = members.where("set_id is not null").select("doc_id", "set_id").join(per_set, "set_id").select("doc_id", "class_id", "n_links", "n_copies")
     without = members.where("set_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return with_words.unionByName(without)
+
+
+def text_key(text: Column) -> Column:
+    """Digest of a whole text as it stands; null as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def class_firsts(docs: DataFrame, words: int = WORDS, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+    """doc_id and text_key of one row per class of `similar_classes`: the smallest id (null only if there is no other), then the smallest key."""
+    tune(docs.sparkSession)
+    rows = spread(plain(docs)).withColumn("text_key", text_key(F.col("text")))
+    members, named = _by_class(rows, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"), words, small, depth)
+    firsts = named.groupBy("component").agg(F.min("least").alias("first")).select("first.doc_id", "first.text_key")
+    return firsts.unionByName(members.where("set_id is null").select("doc_id", "text_key"))

@@ -40,11 +40,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that gives its class the name; rows without an id stay."""
+    """One document per class: the one that gives it the name, told from others with its id by its text."""
     tune(spark)
-    names = chosen_path.similar_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    with_id = _one_each(docs.where("doc_id is not null"), names, ["doc_id"])
-    return with_id.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = chosen_path.class_firsts(docs).select(_named().alias("_key"), F.col("text_key").alias("_digest"))
+    keyed = docs.withColumn("_key", _named()).withColumn("_digest", chosen_path.text_key(F.col("text")))
+    return _one_each(keyed, kept, ["_key", "_digest"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lumenmart.llm import toxicity
+from lumenmart.llm import stages, toxicity
 from lumenmart.llm.common import scratch
 from lumenmart.llm.mixing import targets
 from lumenmart.llm.queries import vocabulary_path
@@ -58,6 +58,22 @@ def test_near_dedup(steps):
     assert sorted(map(tuple, after)) == sorted(tuple(r) for r in before if r.doc_id in keep)
 
 
+def test_near_dedup_of_repeated_and_missing_ids(spark):
+    """One row per class, whatever the ids: equal ids of unrelated texts, a copy beside a unique text, null ids."""
+    text = lambda name, end="": " ".join(f"{name}{k}" for k in range(60)) + end
+    rows = [
+        (1, text("a"), "s"), (1, text("b"), "t"),
+        (2, text("a", " more"), "a"), (2, text("c"), "z"),
+        (None, text("d"), "s"), (None, text("d", " more"), "s"), (None, text("b", " more"), "s"), (None, text("e"), "s"),
+        (3, "", "s"), (3, " ", "s"), (None, None, "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in stages.near_deduplicate(spark, docs, FOLDER).collect()]
+    d = [r for r in got if r[0] is None and (r[1] or "").startswith("d0")]
+    assert len(d) == 1 and d[0] in rows
+    assert sorted(map(repr, (r for r in got if r not in d))) == sorted(map(repr, [rows[0], rows[1], rows[3], rows[7], rows[8], rows[9], rows[10]]))
+
+
 def test_mixing(steps):
     _, _, before, _, after = steps[3]
     size, taken, texts = collections.Counter(), collections.Counter(), {r.doc_id: r for r in before}
