@@ -148,7 +148,14 @@ def _at(data: bytes, at: int, more) -> tuple[int, dict[str, str], bytes] | None:
             return None
         return size, head[0], whole[head[1] : head[1] + head[2]].partition(END)[2]
     window = data[at : at + LOOK_AHEAD]
-    head = _header(window if len(window) == LOOK_AHEAD else window + more(at + len(window), LOOK_AHEAD))
+    if len(window) < LOOK_AHEAD:
+        window += more(at + len(window), LOOK_AHEAD)
+    while window.startswith(b"WARC/1.") and END not in window:
+        piece = more(at + len(window), len(window))
+        if not piece:
+            break
+        window += piece
+    head = _header(window)
     if head is None:
         return None
     fields, begin, length = head

@@ -72,6 +72,15 @@ def test_members_in_stored_payloads_are_rejected(spark):
     assert [r.page_id for r in warc.read_archives(files).collect()] == [1, 1]
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_long_headers(spark, packed):
+    """Headers beyond the first look; the records after them are read too."""
+    long = [(i, "http://h/" + "é" * n, f"body {i}") for i, n in enumerate((10, 40_000, 200_000, 10, 70_000))]
+    files = warc.write_archives(pages(spark, long).coalesce(1), scratch(spark, "warc"), packed)
+    for span in (warc.RANGE, 5_000):
+        assert got(warc.read_archives(files, packed, span)) == brute(long)
+
+
 def test_pointer_jumping(spark):
     chain = [(p, i, i + 1) for p in (1, 2) for i in range(100)] + [(1, 1000, 50), (2, 500, 501)]
     links = spark.createDataFrame(chain, "file long, at long, to long")
