@@ -87,6 +87,11 @@ def incidents(problems: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFram
     (null for healthy checks, which close whatever is open). Within one run an
     incident starts where severity exceeds everything seen before in the run.
     """
+    return number_along(_starts(problems, slot_seconds).where("kind <> ''"), "starts", "incident_no")
+
+
+def _starts(problems: DataFrame, slot_seconds: int) -> DataFrame:
+    """All checks with ``starts``: whether an incident begins there."""
     rows = _slotted(problems, slot_seconds).withColumn("kind", F.coalesce("error_type", F.lit("")))
     ordered = Window.partitionBy("source_id", "slot").orderBy("checked_at", "check_id")
     breaks = F.coalesce(F.lag("kind").over(ordered) != F.col("kind"), F.lit(False))
@@ -108,8 +113,29 @@ def incidents(problems: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFram
     joined = rows.join(carry, ["source_id", "slot"])
     carried = (F.col("piece") == 0) & F.coalesce(F.col("carry_kind") == F.col("kind"), F.lit(False))
     before = F.greatest(F.coalesce("local_top", F.lit(0)), F.when(carried, F.col("carry_top")).otherwise(0))
-    starts = joined.where("kind <> ''").withColumn("starts", F.col("severity_rank") > before)
-    return number_along(starts, "starts", "incident_no")
+    return joined.withColumn("starts", (F.col("kind") != "") & F.coalesce(F.col("severity_rank") > before, F.lit(False)))
+
+
+def incident_lives(told: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """Incidents with resolution and repair proposal.
+
+    ``told``: as for ``incidents``, with ``covers`` (checks each row stands for) and ``failure`` (time and id of
+    the last failed check among them, nulls: none). An incident is resolved by the first later row that is
+    healthy or opens another incident; met by its number, so no window spans a source.
+    """
+    marked = _starts(told, slot_seconds).withColumn("ends", F.col("starts") | (F.col("kind") == ""))
+    numbered = number_along(number_along(marked, "starts", "incident_no"), "ends", "end_no")
+    closing = numbered.where("ends").select("source_id", (F.col("end_no") - 1).alias("end_no"), F.col("checked_at").alias("resolved_at"))
+    failed = F.when(F.col("failure.failed_at").isNotNull(), F.col("failure"))
+    found = numbered.where("kind <> ''").groupBy("source_id", "incident_no").agg(
+        F.min("checked_at").alias("occurred_at"), F.sum("covers").alias("checks"), F.min_by("error_type", F.struct("checked_at", "check_id")).alias("error_type"),
+        F.min_by("severity_rank", F.struct("checked_at", "check_id")).alias("severity_rank"), F.min("end_no").alias("end_no"), F.max(failed).alias("failed"))
+    latest_failure = found.groupBy("source_id").agg(F.max("failed").alias("latest"))
+    cause = F.create_map(*[F.lit(part) for pair in PROBABLE_CAUSE.items() for part in pair])
+    return found.join(closing, ["source_id", "end_no"], "left").join(latest_failure, "source_id").select(
+        "source_id", "incident_no", "occurred_at", "checks", "error_type", "severity_rank", F.col("resolved_at").isNotNull().alias("resolved"), "resolved_at",
+        F.coalesce(F.col("failed") == F.col("latest"), F.lit(False)).alias("latest_proposal"),
+    ).withColumn("probable_cause", F.when(F.col("latest_proposal"), F.coalesce(F.try_element_at(cause, F.col("error_type")), F.lit(OTHER_CAUSE))))
 
 
 def number_along(rows: DataFrame, flag: str, name: str) -> DataFrame:

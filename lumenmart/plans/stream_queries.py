@@ -7,15 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from lumenmart.functions import text
-from lumenmart.operators import health
+from lumenmart.operators import health, listings
 from lumenmart.plans import derived
+from lumenmart.plans.derived import DUCK_HEALTH
 from lumenmart.plans.ingest_queries import (
-    _INCIDENTS_SQL, _PROBLEM_CASE, _RANK_CASE, UPSERT_SQL, feed_records, upsert_view,
+    _INCIDENTS_SQL, _ORDERED, _PROBLEM_CASE, _RANK_CASE, UPSERT_SQL, feed_records, upsert_view,
 )
 from lumenmart.plans.registry import Tables, query
 from lumenmart.session import checkpoint_directory
 from lumenmart.sources import scans
-from lumenmart.streaming import jobs
+from lumenmart.sources.keyed_table import KeyedTable
+from lumenmart.streaming import jobs, stateful
 
 
 def work_folder(tables: Tables, name: str) -> str:
@@ -31,8 +33,100 @@ def event_stream(tables: Tables) -> DataFrame:
 def stream_upsert(tables: Tables) -> DataFrame:
     """The event feed as a file stream, upserted by key; final state."""
     folder = work_folder(tables, "upsert")
-    jobs.write_changes(jobs.upsert_stream(feed_records(event_stream(tables))), f"{folder}/log", f"{folder}/checkpoint")
-    return upsert_view(jobs.current(tables.spark, f"{folder}/log", ["duplicate_key"]))
+    table = KeyedTable.of_changes(tables.spark, f"{folder}/table", ["duplicate_key"])
+    jobs.write_keyed(jobs.upsert_stream(feed_records(event_stream(tables))), table, f"{folder}/checkpoint")
+    return upsert_view(table.read())
+
+
+def shuffled_events(tables: Tables, files: int) -> DataFrame:
+    """The event feed as a stream of files that mix all times, one file per micro-batch."""
+    folder = work_folder(tables, "feed")
+    tables.events.repartition(files, F.xxhash64("event_id")).write.parquet(folder)
+    return jobs.read_feed(tables.spark, folder, tables.events.schema, files_per_batch=1)
+
+
+@query(
+    "stream_live_listings",
+    UPSERT_SQL.replace("cast(arg_min(event_id, row(ts, event_id)) as varchar) as listing_id, ", ""),
+)
+def stream_live_listings(tables: Tables) -> DataFrame:
+    """The event feed collapsed per micro-batch into the live table, whose runs merge as they grow in number."""
+    folder = work_folder(tables, "live")
+    table = KeyedTable(tables.spark, f"{folder}/table", listings.fold_batches)
+
+    def add(batch: DataFrame, number: int) -> None:
+        rows = listings.collapse(feed_records(batch), "seen_at", "event_id")
+        table.commit(rows.select("duplicate_key", F.col("first_record").cast("string").alias("listing_id"), "first_seen_at", "last_seen_at", "price"), number)
+
+    shuffled_events(tables, 6).writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    return upsert_view(table.read()).drop("listing_id")
+
+
+def slot_checks(tables: Tables) -> DataFrame:
+    """Slot summaries of the health feed, in mixed order and with source names of either case."""
+    folder = work_folder(tables, "checks")
+    checks = tables.spark.sql(derived.SPARK_HEALTH.replace(" from events", " from {base}"), base=shuffled_events(tables, 4))
+    checks = checks.withColumnRenamed("event_id", "check_id").withColumn("error_type", F.expr(_PROBLEM_CASE)).withColumn("severity_rank", F.expr(_RANK_CASE))
+    named = checks.withColumn("source_id", F.when(F.col("check_id") % 2 == 0, F.upper("source_id")).otherwise(F.col("source_id")))
+    return stateful.run_slot_checks(named, f"{folder}/table", f"{folder}/checkpoint", slot_seconds=5 * 86_400).read()
+
+
+@query(
+    "stream_health",
+    f"""with h as (select *, sum(case when status <> 'FAILED' then 1 else 0 end) over ({_ORDERED} rows unbounded preceding) as block from ({DUCK_HEALTH}))
+select source_id, arg_max(status, row(checked_at, event_id)) as status, count(*) filter (where status = 'FAILED' and block = last_block) as consecutive_failures,
+  strftime(max(checked_at) filter (where status <> 'FAILED'), '%Y-%m-%d %H:%M:%S') as last_success, count(*) as checks
+from (select *, max(block) over (partition by source_id) as last_block from h) group by source_id""",
+)
+def stream_health(tables: Tables) -> DataFrame:
+    """Status, failure streak and last success of every source, kept as keyed state over files in mixed order."""
+    rows = stateful.source_state(tables.shared("slot_checks", slot_checks))
+    return rows.select("source_id", "status", "consecutive_failures", F.date_format("last_success_at", "yyyy-MM-dd HH:mm:ss").alias("last_success"), "checks")
+
+
+@query(
+    "stream_incident_lives",
+    f"""with {_INCIDENTS_SQL},
+marks as (select runs.source_id, runs.event_id, runs.checked_at, runs.error_type is null or coalesce(numbered.begins, false) as ends, numbered.begins, numbered.incident_no
+  from runs left join numbered on runs.source_id = numbered.source_id and runs.event_id = numbered.event_id),
+closed as (select source_id, incident_no, begins, lead(checked_at) over ({_ORDERED}) as resolved_at from marks where ends),
+lives as (select source_id, incident_no, count(*) as checks, min(checked_at) as occurred_at, arg_min(error_type, row(checked_at, event_id)) as error_type,
+  arg_min(severity_rank, row(checked_at, event_id)) as severity_rank, max(case when status = 'FAILED' then row(checked_at, event_id) end) as failed from numbered group by all)
+select source_id, cast(incident_no as bigint) as incident_no, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') as occurred_at, checks, error_type, severity_rank, resolved_at is not null as resolved,
+  strftime(resolved_at, '%Y-%m-%d %H:%M:%S') as resolved_at, coalesce(failed = max(failed) over (partition by source_id), false) as latest_proposal,
+  case when coalesce(failed = max(failed) over (partition by source_id), false) then case error_type when 'timeout' then 'slow or unreachable source' when 'network' then 'connection lost' end end as probable_cause
+from lives join closed using (source_id, incident_no) where begins""",
+)
+def stream_incident_lives(tables: Tables) -> DataFrame:
+    """Incidents with resolution and each source's latest repair proposal, from keyed state over files in mixed order."""
+    rows = stateful.incident_lifecycle(tables.shared("slot_checks", slot_checks))
+    stamp = lambda name: F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+    return rows.select(
+        "source_id", F.col("incident_no").cast("long").alias("incident_no"), stamp("occurred_at"), "checks", "error_type", "severity_rank", "resolved",
+        stamp("resolved_at"), "latest_proposal", "probable_cause")
+
+
+STALE_DAYS = 5
+
+
+@query(
+    "stream_expiry",
+    f"""with seen as (select concat(event_type, ':', cast(user_id as varchar)) as duplicate_key, epoch_ms(min(ts)) as first_ms, epoch_ms(max(ts)) as last_ms from events group by all)
+select duplicate_key, strftime(epoch_ms(first_ms), '%Y-%m-%d %H:%M:%S') as first_seen, strftime(epoch_ms(last_ms), '%Y-%m-%d %H:%M:%S') as last_seen,
+  last_ms >= max(last_ms) over () - {STALE_DAYS * 86_400_000} as active from seen""",
+)
+def stream_expiry(tables: Tables) -> DataFrame:
+    """Listings that expire by timer and revive by a late sighting, over files in mixed order, in two scheduled runs."""
+    folder = work_folder(tables, "expiry")
+    feed = work_folder(tables, "feed")
+    table = None
+    for late in (False, True):  # the later run brings old and new sightings
+        tables.events.where((F.col("event_id") % 3 == 0) == F.lit(late)).repartition(2, F.xxhash64("event_id")).write.mode("append").parquet(feed)
+        records = feed_records(jobs.read_feed(tables.spark, feed, tables.events.schema, files_per_batch=1))
+        stateful.reduce_sightings(records, f"{folder}/sightings", f"{folder}/sightings-checkpoint")
+        table = stateful.run_expiry(tables.spark, f"{folder}/sightings", f"{folder}/table", f"{folder}/checkpoint", STALE_DAYS)
+    stamp = lambda name: F.date_format(name, "yyyy-MM-dd HH:mm:ss")
+    return stateful.listing_state(table).select("duplicate_key", stamp("first_seen_at").alias("first_seen"), stamp("last_seen_at").alias("last_seen"), "active")
 
 
 @query(
@@ -134,9 +228,9 @@ def table_counts(tables: Tables) -> DataFrame:
     "select distinct concat(event_type, ':', cast(user_id as varchar)) as deduplication_key from events",
 )
 def stream_fresh_alerts(tables: Tables) -> DataFrame:
-    """The event stream as alerts, each deduplication key sent once."""
+    """The event stream as alerts in 20 micro-batches, each deduplication key sent once."""
     folder = work_folder(tables, "alerts")
     key = F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("deduplication_key")
-    alerts = event_stream(tables).select(key, F.col("ts").cast("timestamp").alias("created_at"))
-    jobs.write_fresh_alerts(alerts, f"{folder}/log", f"{folder}/checkpoint", "created_at")
+    alerts = shuffled_events(tables, 20).select(key, F.col("ts").cast("timestamp").alias("created_at"))
+    stateful.write_fresh_alerts(alerts, f"{folder}/log", f"{folder}/checkpoint")
     return tables.spark.read.parquet(f"{folder}/log").select("deduplication_key")

@@ -12,7 +12,8 @@ from typing import Optional
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenmart.operators import health, ingest, notify
+from lumenmart.operators import health, ingest, listings, notify
+from lumenmart.sources.keyed_table import KeyedTable
 
 
 def read_feed(spark: SparkSession, folder: str, schema, pattern: Optional[str] = None, files_per_batch: int = 1000, kind: str = "parquet") -> DataFrame:
@@ -32,6 +33,11 @@ def write_changes(stream: DataFrame, path: str, checkpoint: str, mode: str = "up
     run.awaitTermination()
 
 
+def write_keyed(stream: DataFrame, table: KeyedTable, checkpoint: str, mode: str = "update") -> None:
+    """Run all available input into a keyed table, whose runs merge as they grow in number."""
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(table.commit).start().awaitTermination()
+
+
 def current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Newest logged row per key."""
     log = spark.read.parquet(path)
@@ -65,28 +71,6 @@ def digest_totals(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("digest_start", *keys).agg(F.sum("alerts").alias("alerts"))
 
 
-def write_fresh_alerts(alerts: DataFrame, path: str, checkpoint: str, at: str) -> None:
-    """Log each deduplication key once, however long ago it was sent: a batch meets the keys of all earlier ones."""
-    spark = alerts.sparkSession
-
-    def log(batch: DataFrame, number: int) -> None:
-        columns = [name for name in batch.columns if name != "deduplication_key"]
-        first = batch.groupBy("deduplication_key").agg(F.min(F.struct(at, *[c for c in columns if c != at])).alias("row")).select("deduplication_key", "row.*")
-        if number:
-            earlier = spark.read.parquet(path).where(F.col("batch") < number).select("deduplication_key")
-            first = notify.fresh(first, earlier)
-        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    alerts.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(log).start().awaitTermination()
-
-
-def latest_sightings_stream(listings: DataFrame, at: str, lateness: str, stale: str) -> DataFrame:
-    """Listings whose last sighting session ended: expired once ``stale`` passed unseen."""
-    seen = listings.withWatermark(at, lateness)
-    return seen.groupBy(F.session_window(F.col(at), stale).alias("session"), "duplicate_key").agg(
-        F.max(at).alias("last_seen_at")).select("duplicate_key", "last_seen_at", F.col("session.end").alias("expired_at"))
-
-
 CHECK_COLUMNS = ("check_id", "source_id", "checked_at", "status", "error_type", "severity_rank")
 
 
@@ -117,20 +101,23 @@ def incident_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).join(last, ["source_id", "batch"], "left_semi").drop("batch")
 
 
+def live_listings(spark: SparkSession, path: str) -> KeyedTable:
+    """The stored live listings below a folder."""
+    return KeyedTable(spark, f"{path}/live", listings.fold_batches)
+
+
 def ingest_stream(records: DataFrame, sources: DataFrame, catalog: DataFrame, aliases: DataFrame, watches: DataFrame, path: str, checkpoint: str, now: Column) -> None:
-    """The whole ingest run per micro-batch; each batch writes the next version of the live table and its errors."""
-    spark = records.sparkSession
+    """The whole ingest run per micro-batch; each batch adds its listings to the live table and logs its errors."""
+    table = live_listings(records.sparkSession, path)
 
     def step(batch: DataFrame, number: int) -> None:
-        stored = spark.read.parquet(f"{path}/live/version={number - 1}") if number else None
-        done = ingest.run(batch, sources, catalog, aliases, watches, stored, now)
-        done.live.write.mode("overwrite").parquet(f"{path}/live/version={number}")
+        done = ingest.run(batch, sources, catalog, aliases, watches, None, now)
+        table.commit(done.batch, number)
         done.errors.write.mode("overwrite").parquet(f"{path}/errors/batch={number}")
 
     records.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
 
 
 def live_table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the live table."""
-    versions = spark.read.parquet(f"{path}/live")
-    return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
+    """The live table as of the last batch."""
+    return live_listings(spark, path).read().drop("first_batch", "batch")

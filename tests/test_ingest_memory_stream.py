@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenmart.operators import health, listings, memory, notify, serve
 from lumenmart.sources import scans, sinks
-from lumenmart.streaming import jobs
+from lumenmart.streaming import jobs, stateful
 from tests import builders
 from tests.builders import day
 
@@ -118,7 +118,7 @@ def test_alert_stream_drops_repeats(spark, tmp_path):
     for rows in ([("k1", START), ("k1", START + timedelta(minutes=1)), ("k2", START)], [("k1", START + timedelta(days=900)), ("k3", START)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
     feed = jobs.read_feed(spark, str(tmp_path / "feed"), spark.createDataFrame([], schema).schema, files_per_batch=1)
-    jobs.write_fresh_alerts(feed, str(tmp_path / "out"), str(tmp_path / "cp"), "created_at")
+    stateful.write_fresh_alerts(feed, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r.deduplication_key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["k1", "k2", "k3"]
 
 
