@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from lumenmart.functions import text
+from lumenmart import session
 from lumenmart.operators import health, listings
 from lumenmart.plans import derived
 from lumenmart.plans.derived import DUCK_HEALTH
@@ -14,7 +13,6 @@ from lumenmart.plans.ingest_queries import (
     _INCIDENTS_SQL, _ORDERED, _PROBLEM_CASE, _RANK_CASE, UPSERT_SQL, feed_records, upsert_view,
 )
 from lumenmart.plans.registry import Tables, query
-from lumenmart.session import checkpoint_directory
 from lumenmart.sources import scans
 from lumenmart.sources.keyed_table import KeyedTable
 from lumenmart.streaming import jobs, stateful
@@ -22,7 +20,7 @@ from lumenmart.streaming import jobs, stateful
 
 def work_folder(tables: Tables, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
-    return f"{checkpoint_directory(tables.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return session.work_folder(tables.spark, name)
 
 
 def event_stream(tables: Tables) -> DataFrame:

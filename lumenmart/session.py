@@ -77,8 +77,15 @@ def stage(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for files and stream state; ``drop_staged`` removes it."""
+    path = f"{checkpoint_directory(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def drop_staged(spark: SparkSession) -> None:
-    """Remove the staged tables this process wrote; call when results were consumed."""
+    """Remove the staged tables and work folders of this process; call when results were consumed."""
     for forget in ON_DROP:
         forget()
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
