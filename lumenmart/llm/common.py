@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenmart import session
-from lumenmart.session import checkpoint_directory, spread, stage
+from lumenmart.session import spread, stage, work_folder
 
 __all__ = ["WORD", "BLANK", "fold", "lean", "plain", "row_key", "scratch", "small_slices", "spread", "stage", "table", "tune"]
 
@@ -26,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    return f"{checkpoint_directory(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared checkpoint folder; it goes with the staged tables."""
+    return work_folder(spark, name)
 
 
 def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

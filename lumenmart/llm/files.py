@@ -1,6 +1,7 @@
 """Binary files in shared folders, written and read in byte ranges by tasks.
 
-Any store that pyarrow opens by address works (local or mounted folders, HDFS, object stores). A file
+Any store that pyarrow opens by address works (local or mounted folders, HDFS, S3, Google and Azure storage;
+Spark's names of their schemes are understood). A file
 is written under a name of its attempt and moved in place when complete, so a repeated or speculative
 task replaces it by equal bytes and readers never see half a file.
 """
@@ -12,7 +13,14 @@ import uuid
 from pyarrow import fs
 
 
+#: Schemes as Spark writes them, and as pyarrow does.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
 def _open(address: str) -> tuple[fs.FileSystem, str]:
+    scheme, mark, rest = address.partition("://")
+    if mark and scheme in SCHEMES:
+        address = f"{SCHEMES[scheme]}://{rest}"
     return fs.FileSystem.from_uri(address) if "://" in address or address.startswith("file:") else (fs.LocalFileSystem(), address)
 
 

@@ -175,10 +175,18 @@ def _page_number(text: str) -> int | None:
 CANDIDATES = "file long, path string, start long, at long, to long, leaves long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, sound boolean"
 
 
+class DamagedArchive(ValueError):
+    """A chain of records ends before its file does."""
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """Files with a number; empty ones hold no record and are left out."""
+    return stage(files.where("size > 0").select(F.monotonically_increasing_id().alias("file"), "path", "size"))
+
+
 def candidates(files: DataFrame, packed: bool = True, span: int = RANGE) -> DataFrame:
     """Every place that looks like a record: its offset, its successor's offset and what the record says."""
-    numbered = stage(files.where("size > 0").select(F.monotonically_increasing_id().alias("file"), "path", "size"))
-    ranges = numbered.select("file", "path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(span))).alias("start"))
+    ranges = (files if "file" in files.columns else numbered(files)).select("file", "path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(span))).alias("start"))
     tasks = ranges.repartition(min(MOST_TASKS, max(1, ranges.count())), "path", "start")
     magic = re.compile(re.escape(MEMBER) if packed else rb"WARC/1\.[01]\r\n")
     names = [f.split()[0] for f in CANDIDATES.split(", ")]
@@ -242,18 +250,39 @@ def _on_chain(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[rows["at"].isin(passed)].drop(columns="entered")
 
 
-def read_archives(files: DataFrame, packed: bool = True, span: int = RANGE) -> DataFrame:
+def breaks(files: DataFrame, entered: DataFrame) -> DataFrame:
+    """Files whose chain does not end where the file does: path, at (first byte no record explains), lost (bytes from there)."""
+    ends = entered.groupBy("file").agg(F.max("at").alias("ends"))
+    return files.join(ends, "file", "left").select("path", F.coalesce("ends", F.lit(0)).alias("at"), (F.col("size") - F.coalesce("ends", F.lit(0))).alias("lost")).where("lost <> 0")
+
+
+def read_archives(files: DataFrame, packed: bool = True, span: int = RANGE, damaged: str = "fail") -> DataFrame:
     """Records of archives (rows of path, size): page_id, payload_bytes, payload_digest, record_type, refers_to, path, at, sound.
 
-    `sound` tells whether the payload has the digest its header claims.
+    `sound` tells whether the payload has the digest its header claims. Where the chain of records ends before
+    its file (a damaged or truncated record), what follows is not guessed at: the read fails with
+    `DamagedArchive`, or with damaged="report" gives one row per such file beside the records before the
+    damage, with record_type "damaged", the offset `at` and in payload_bytes the bytes that are lost.
     """
-    found = stage(candidates(files, packed, span))
+    own = numbered(files)
+    found = stage(candidates(own, packed, span))
     doors = found.select("file", F.col("leaves").alias("at")).unionByName(found.select("file", F.lit(0).cast("long").alias("at"))).distinct()
     links = stage(found.select("file", "at", F.col("leaves").alias("to")).join(doors, ["file", "at"], "left_semi"))
-    entered = reached(links).withColumn("entered", F.lit(True))
-    rows = found.drop("leaves").join(entered, ["file", "at"], "left").withColumn("entered", F.coalesce("entered", F.lit(False)))
+    entered = reached(links)
+    broken = stage(breaks(own, entered))
+    if damaged == "fail":
+        some = broken.orderBy("path").limit(3).collect()
+        if some:
+            raise DamagedArchive("; ".join(f"{r.path}: no record at byte {r.at}, {r.lost} bytes unread" for r in some))
+    rows = found.drop("leaves").join(entered.withColumn("entered", F.lit(True)), ["file", "at"], "left").withColumn("entered", F.coalesce("entered", F.lit(False)))
     chain = rows.groupBy("file", "start").applyInPandas(_on_chain, rows.drop("entered").schema)
-    return chain.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "at", "sound")
+    records = chain.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "at", "sound")
+    if damaged == "fail":
+        return records
+    nothing = F.lit(None)
+    return records.unionByName(broken.select(
+        nothing.cast("long").alias("page_id"), F.col("lost").alias("payload_bytes"), nothing.cast("string").alias("payload_digest"),
+        F.lit("damaged").alias("record_type"), nothing.cast("long").alias("refers_to"), "path", "at", F.lit(False).alias("sound")))
 
 
 def archive_round_trip(pages: DataFrame, folder: str, packed: bool = True) -> DataFrame:

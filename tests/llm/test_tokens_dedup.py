@@ -91,16 +91,67 @@ def test_exact_groups_of_nothing(spark):
     assert stream_dedup.exact_groups(frame(spark, [])).count() == 0
 
 
+def fingerprint_rows(spark, texts):
+    return stream_dedup.fingerprints(stream_dedup.located(frame(spark, texts).repartition(3)))
+
+
 def test_state_grows_over_batches(spark):
-    rows = stream_dedup.fingerprints(frame(spark, ["same"] * 40 + ["other"]))
     folder = scratch(spark, "fp")
-    rows.repartition(8).write.parquet(folder)
+    fingerprint_rows(spark, ["same"] * 40 + ["other"]).repartition(8).write.parquet(folder)
     state = stream_dedup.state_log(spark, folder, files_per_batch=1).collect()
     assert sorted(r.n for r in state) == [1, 40] and sorted(r.first.doc_id for r in state) == [0, 40]
 
 
-def test_texts_behind_one_digest_are_told_apart(spark):
-    docs = frame(spark, ["p", "q", "p", "q"])
-    full = docs.select(F.unhex(F.sha2("text", 256)).alias("digest")).distinct()
-    rows = stream_dedup._told_apart(docs, stage(full), "doc_id", "text").collect()
-    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows) == [(0, 0, 2, True), (1, 1, 2, True), (2, 0, 2, False), (3, 1, 2, False)]
+def test_locators_find_the_rows_again(spark):
+    texts = [f"text {n}" for n in range(50)]
+    found = stage(stream_dedup.located(frame(spark, texts).repartition(4)))
+    assert all(r.file for r in found.collect()) and len({(r.file, r.row) for r in found.collect()}) == 50
+    docs = stream_dedup.located(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    wanted = docs.where("doc_id % 7 = 3").select("file", "row")
+    got = {r.doc_id: r.text for r in stream_dedup.fetched(docs, wanted).collect()}
+    assert got == {r.doc_id: r.text for r in docs.where("doc_id % 7 = 3").collect()}
+    assert stream_dedup.fetched(docs, wanted.limit(0)).count() == 0
+
+
+def test_hit_on_state_of_an_earlier_batch(spark, tmp_path):
+    """Every digest comes again in a later batch, with a smaller id: state, not the batch, must tell the group."""
+    frame(spark, ["a  b", "c", "d"], [30, 31, 32]).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    frame(spark, ["a b", "c", "e"], [20, 41, 22]).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    folder = scratch(spark, "fp")
+    for part in (docs.where("doc_id >= 30 and doc_id < 40"), docs.where("doc_id < 30 or doc_id > 40")):
+        stream_dedup.fingerprints(stream_dedup.located(part)).coalesce(1).write.mode("append").parquet(folder)
+    state = {(r.first.doc_id, r.n) for r in stream_dedup.state_log(spark, folder, files_per_batch=1).collect()}
+    assert state == {(20, 2), (31, 2), (32, 1), (22, 1)}
+    got = stream_dedup.exact_groups(docs, files_per_batch=1).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [
+        (20, 20, 2, True), (22, 22, 1, True), (30, 20, 2, False), (31, 31, 2, True), (32, 32, 1, True), (41, 31, 2, False)]
+
+
+def test_clashing_digests_are_told_apart_by_full_bytes(spark):
+    """A digest that knows two values only: every group must come from the bytes."""
+    texts = [f"text {n % 9}" for n in range(40)] + ["text  1", None, ""]
+    forged = lambda full: F.unhex(F.when(F.length(full) > 0, F.lit("00")).otherwise("01"))
+    got = stream_dedup.exact_groups(frame(spark, texts).repartition(6), files_per_batch=2, digest=forged).collect()
+    want = {(i, keep, size) for i, keep, size, _ in brute(texts, range(len(texts)))}
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == want and len(got) == len(texts)
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
+def test_registered_query_takes_several_batches(spark):
+    folder = "/root/testdata/sf0.1"
+    batches = []
+    real = stream_dedup.state_log
+
+    def watched(session, place, per_batch):
+        batches.append(-(-len([f for f in spark.read.parquet(place).inputFiles()]) // per_batch))
+        return real(session, place, per_batch)
+
+    stream_dedup.state_log = watched
+    try:
+        rows = stream_dedup.exact_groups(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    finally:
+        stream_dedup.state_log = real
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    assert batches[0] >= 4
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in rows), key=repr) == brute([r.text for r in docs], [r.doc_id for r in docs])

@@ -90,3 +90,24 @@ def test_pointer_jumping(spark):
 
 def test_no_pages(spark):
     assert warc.archive_round_trip(pages(spark, []), scratch(spark, "warc")).count() == 0
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_damage_is_reported_not_skipped(spark, tmp_path, packed):
+    rows = [(n, f"http://x/{n}", f"page {n} " * (20 + n)) for n in range(50)]
+    files = warc.write_archives(pages(spark, rows).coalesce(1), str(tmp_path / "a"), packed).collect()
+    (path, size), = [(r.path, r.size) for r in files]
+    data = open(path, "rb").read()
+    starts = sorted(r.at for r in warc.read_archives(spark.createDataFrame(files), packed).collect())
+    hurt = starts[24]
+    for name, broken, lost_from in (
+        ("zeroed", data[: hurt + 4] + b"\0" * 20 + data[hurt + 24 :], hurt), ("cut", data[:-7], starts[-1]), ("headless", b"\0\0" + data[2:], 0), ("tail", data + b"\0" * 30, size),
+    ):
+        file = str(tmp_path / f"{name}.warc")
+        open(file, "wb").write(broken)
+        one = spark.createDataFrame([(file, len(broken))], "path string, size long")
+        with pytest.raises(warc.DamagedArchive, match=f"byte {lost_from}, {len(broken) - lost_from} bytes"):
+            warc.read_archives(one, packed)
+        got = warc.read_archives(one, packed, damaged="report").collect()
+        assert [(r.at, r.payload_bytes) for r in got if r.record_type == "damaged"] == [(lost_from, len(broken) - lost_from)]
+        assert sorted(r.at for r in got if r.record_type != "damaged") == [s for s in starts if s < lost_from]
