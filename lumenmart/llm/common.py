@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lumenmart import session
 from lumenmart.session import spread, stage, work_folder
 
-__all__ = ["WORD", "BLANK", "fold", "lean", "plain", "row_key", "scratch", "small_slices", "spread", "stage", "table", "tune"]
+__all__ = ["WORD", "BLANK", "fold", "lean", "plain", "row_key", "scratch", "small_slices", "spread", "stage", "table", "tune", "whole_row"]
 
 #: Words and the blanks between them: the ASCII white space of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +34,11 @@ def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct column `row`, whatever their names."""
+    return F.struct(*[F.col(f"`{name.replace('`', '``')}`") for name in docs.columns]).alias("row")
+
+
 def row_key() -> list[Column]:
     """Identity of a document row: its id and a hash of its text. Rows equal in both get equal results."""
     return [F.col("doc_id"), F.xxhash64("text").alias("text_key")]

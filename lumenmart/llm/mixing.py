@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from lumenmart.llm.common import WORD, fold, spread, stage, tune
+from lumenmart.llm.common import WORD, fold, spread, stage, tune, whole_row
 from lumenmart.llm.feistel import permute
 
 WEIGHTS = (1, 2, 3)
@@ -208,7 +208,9 @@ def mixed_documents(docs: DataFrame, mixture: Mixture) -> DataFrame:
         _pieces(mixture).select("start", "low", "high", "copies", *named).groupBy(*keys, "start").agg(F.collect_list(F.struct("low", "high", "copies")).alias("pieces"))
         .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "pieces"))).alias("_lists"))
     )
-    keyed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).select("*", *named)
+    # the input row travels as one column, so none of its names meets those used here
+    mine = docs.select(whole_row(docs), "doc_id", "source", F.col("text").alias("body"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    keyed = mine.select("row", "body", *named)
     turn = Window.partitionBy(*keys).orderBy(F.lit(1))
     chosen = keyed.join(lists, keys).withColumn("_pieces", F.col("_lists")[F.row_number().over(turn) - 1]["pieces"])
 
@@ -216,10 +218,11 @@ def mixed_documents(docs: DataFrame, mixture: Mixture) -> DataFrame:
     def cut(text: pd.Series, pieces: pd.Series) -> pd.Series:
         return pd.Series([cut_copies(t, [(p["low"], p["high"], p["copies"]) for p in ps]) for t, ps in zip(text, pieces, strict=True)])
 
-    out = chosen.withColumn("text", F.explode(cut("text", "_pieces")))
+    out = chosen.select("row", F.explode(cut("body", "_pieces")).alias("cut"))
+    changed = F.col("row").withField("text", F.col("cut"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed = changed.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
+    return out.select(changed.alias("row")).select("row.*")
 
 
 def mixed_blocks(docs: DataFrame, mixture: Mixture) -> DataFrame:

@@ -107,3 +107,25 @@ def test_odd_rows_pass_every_stage(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, FOLDER)
         assert docs.count() <= 3 * len(rows_)
+
+
+CLASHING = ("text_key", "_key", "_digest", "_place", "_id", "_text", "_from", "_pieces", "_lists", "row", "name", "digest", "place", "score", "predicted", "cut", "body", "file", "_metadata", "a.b", "size")
+
+
+def test_clashing_columns_pass_unchanged(spark):
+    """Every stage but the last keeps columns of any name, with the values of their row."""
+    rows = [(n, f"text {n} " + " ".join(f"w{n}x{k}" for k in range(30 + n)), "en", f"s{n % 3}", 0, *(f"{name}-{n}" for name in CLASHING)) for n in range(12)]
+    rows += [(50 + n, rows[n][1], "en", "s0", 0, *(f"{name}-{50 + n}" for name in CLASHING)) for n in range(4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{name}` string" for name in CLASHING)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHING], name
+    path = scratch(spark, "clash")
+    docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).write.parquet(path)
+    after = spark.read.parquet(path).collect()
+    assert {r[0] for r in after} <= set(range(12)) and after
+    for r in after:
+        assert list(r[5:]) == [f"{name}-{r[0]}" for name in CLASHING]
+    last = corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame([(1, "only text")], "doc_id long, text string"), FOLDER)
+    assert last.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and last.count() == 1
