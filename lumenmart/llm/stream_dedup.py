@@ -30,8 +30,9 @@ STATE_SETTINGS = {
     # no space reserved ahead of the logs: there is one store per shuffle partition
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Least number of micro-batches; a batch takes as many files as the cluster has cores, or more batches follow.
-BATCHES = 4
+#: Least number of micro-batches. A batch takes as many fingerprint files as the cluster has cores, and a file
+#: the rows of at most so many scan tasks; where there are more, more batches follow.
+BATCHES, SCANS_PER_FILE = 4, 32
 #: Bits that mark the locators of hits: bitmaps of 16 MB at most. A false hit has its text compared in vain.
 MARK_BITS = 27
 
@@ -145,8 +146,7 @@ def exact_groups(
     folder = scratch(spark, "dedup-fingerprints")
     per_batch = files_per_batch or max(8, spark.sparkContext.defaultParallelism)
     prints = fingerprints(found, digest)
-    files = max(BATCHES * per_batch, prints.rdd.getNumPartitions())
-    prints.repartition(files, F.xxhash64("locator")).write.parquet(folder)
+    prints.repartition(max(BATCHES * per_batch, -(-prints.rdd.getNumPartitions() // SCANS_PER_FILE))).write.parquet(folder)
     rows = spark.read.parquet(folder)
     state = state_log(spark, folder, per_batch)
     grouped = stage(rows.join(state, "digest").select("digest", "locator", "first", "n"))
