@@ -215,3 +215,32 @@ def recover_interrupted(runs: DataFrame, now: Column) -> tuple[DataFrame, DataFr
     closed = runs.withColumn("finished_at", F.when(hung, now).otherwise(F.col("finished_at"))).withColumn(
         "status", F.when(hung, "FAILED").otherwise(F.col("status")))
     return closed, errors
+
+
+def after_run(outcomes: DataFrame, fetches: DataFrame, previous: DataFrame, watched_sources: DataFrame, timeout_ms: int) -> DataFrame:
+    """Health of every fetched source after a run, with the rule that degraded it and its failure streak.
+
+    ``outcomes``: one row per record (source_id, normalized, relevant, error); ``fetches``: one row per source
+    that was asked (source_id, source_failed, response_time_ms), also those that sent nothing; records of a
+    failed fetch do not count. ``previous``: source_id, status, relevant, consecutive_failures as this
+    function returned them for the run before.
+    """
+    counted = outcomes.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("raw"), F.count_if("normalized").alias("normalized"), F.count_if("relevant").alias("relevant"), F.count_if("error").alias("errors"))
+    names = ("raw", "normalized", "relevant", "errors")
+    now = fetches.select("source_id", "source_failed", "response_time_ms").join(counted, "source_id", "left").select(
+        "source_id", "source_failed", "response_time_ms", F.lit(2).alias("run_no"),
+        *[F.when(F.col("source_failed"), F.lit(0)).otherwise(F.coalesce(name, F.lit(0))).cast("long").alias(name) for name in names])
+    before = previous.select("source_id", F.col("relevant").cast("long").alias("relevant"), F.lit(1).alias("run_no"))
+    judged = degraded(now.unionByName(before, allowMissingColumns=True), timeout_ms, watched_sources).where("run_no = 2").drop("run_no")
+    known = previous.select("source_id", F.col("status").alias("previous_status"), F.col("consecutive_failures").alias("streak_before"))
+    return judged.join(known, "source_id", "left").withColumn(
+        "consecutive_failures", F.when(F.col("source_failed"), F.coalesce("streak_before", F.lit(0)) + 1).otherwise(0)).drop("streak_before")
+
+
+def run_after(sources: DataFrame, run_id: str, dry_run: bool = False) -> DataFrame:
+    """The run's row from ``after_run``: counters and status; a run that asked no source is complete, a trial run says so."""
+    ok, failed = F.count_if(~F.col("source_failed")), F.count_if("source_failed")
+    totals = sources.agg(ok.alias("sources_ok"), failed.alias("sources_failed"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("raw", "normalized", "relevant", "errors")])
+    status = F.lit("DRY_RUN") if dry_run else run_status(F.col("sources_ok"), F.col("sources_failed"))
+    return totals.select(F.lit(run_id).alias("run_id"), status.alias("status"), "*")

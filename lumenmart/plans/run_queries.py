@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumenmart.operators import ingest, resolve
+from lumenmart.operators import health, ingest, notify, resolve
 from lumenmart.plans import derived
 from lumenmart.plans.derived import OBS_SQL
 from lumenmart.plans.registry import Tables, query
@@ -104,6 +104,48 @@ def ingest_counters(tables: Tables) -> DataFrame:
         "run_id", "raw", "normalized", "relevant", "ignored", "errors", "sources_ok", "sources_failed", "status", "new", "updated")
 
 
+# What each source's fetch came to in the second run, and its health before: S2 is slow, S7 fails again, S10 sends nothing.
+_FETCHES = [(f"S{i}", i == 7, 20_000 if i == 2 else 100) for i in (*range(9), 10)]
+_BEFORE = [(f"S{i}", {1: "FAILED", 7: "FAILED", 8: "DEGRADED"}.get(i, "HEALTHY"), 0 if i in (1, 7) else 5, {1: 1, 7: 2}.get(i, 0)) for i in (*range(8), 8, 10)]
+_TIMEOUT_MS = 15_000
+_VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in row) + ")" for row in rows)
+
+
+@query(
+    "ingest_health",
+    f"""with {_RUN_SQL}, fetches(source_id, source_failed, response_time_ms) as (values {_VALUES(_FETCHES)}), before(source_id, status, relevant, streak) as (values {_VALUES(_BEFORE)}),
+counted as (select f.source_id, source_failed, response_time_ms, count(r.source_id) filter (where not source_failed) as raw, count(*) filter (where r.error and not source_failed) as errors,
+    count(*) filter (where not r.error and (r.sure or r.watched or r.supplied) and not source_failed) as relevant from fetches f left join rows r on r.source_id = f.source_id group by all),
+judged as (select c.*, b.status as previous_status, case when source_failed then streak + 1 else 0 end as streak,
+    case when source_failed then null when errors > 0 then 'record errors' when response_time_ms > {_TIMEOUT_MS} then 'response over timeout' when c.relevant = 0 and b.relevant > 0 then 'nothing relevant any more' end as rule
+  from counted c left join before b using (source_id)),
+stated as (select *, case when source_failed then 'FAILED' when rule is not null then 'DEGRADED' else 'HEALTHY' end as status from judged),
+run as (select 'run-2' as run_id, case when count(*) filter (where source_failed) = 0 then 'COMPLETED' when count(*) filter (where not source_failed) > 0 then 'PARTIAL' else 'FAILED' end as status,
+    sum(raw) as raw, sum(relevant) as relevant, sum(errors) as errors from stated)
+select 'source' as kind, source_id as name, status, rule as detail, raw, relevant, errors, streak from stated
+union all select 'run', run_id, status, null, raw, relevant, errors, null from run
+union all select 'alert', concat('RADAR_', status, ':', run_id), case status when 'PARTIAL' then 'IMPORTANT' else 'CRITICAL' end, null, null, null, null, null from run where status in ('PARTIAL', 'FAILED')
+union all select 'alert', concat('CONNECTOR_FAILED:', source_id, ':failed'), 'CRITICAL', null, null, null, null, null from stated where status = 'FAILED' and coalesce(previous_status, '') <> 'FAILED'
+union all select 'alert', concat('CONNECTOR_RECOVERED:', source_id, ':healthy'), 'NOTICE', null, null, null, null, null from stated where status = 'HEALTHY' and previous_status = 'FAILED'""",
+)
+def ingest_health(tables: Tables) -> DataFrame:
+    """Sources after the second run with slow, failing and silent ones; the run's status; the alerts all of that raises."""
+    spark = tables.spark
+    fetches = spark.createDataFrame(_FETCHES, "source_id string, source_failed boolean, response_time_ms long")
+    before = spark.createDataFrame(_BEFORE, "source_id string, status string, relevant long, consecutive_failures int")
+    # watches of all sources cover every source
+    sources = health.after_run(_both(tables)[1].outcomes, fetches, before, fetches.select("source_id"), _TIMEOUT_MS)
+    run = health.run_after(sources, "run-2")
+    alerts = notify.run_alerts(run).unionByName(notify.health_alerts(sources).select("notification_type", "severity", "deduplication_key"))
+    long = lambda name: F.col(name).cast("long").alias(name)
+    rows = sources.select(
+        F.lit("source").alias("kind"), F.col("source_id").alias("name"), "status", F.col("rule").alias("detail"), long("raw"), long("relevant"), long("errors"),
+        F.col("consecutive_failures").cast("long").alias("streak"))
+    whole = run.select(F.lit("run").alias("kind"), F.col("run_id").alias("name"), "status", long("raw"), long("relevant"), long("errors"))
+    sent = alerts.select(F.lit("alert").alias("kind"), F.col("deduplication_key").alias("name"), F.col("severity").alias("status"))
+    return rows.unionByName(whole, allowMissingColumns=True).unionByName(sent, allowMissingColumns=True)
+
+
 # Titles and descriptions of six kinds: product id, product name, negated id, both, and two kinds of bundles.
 _KIND = "p_partkey % 6"
 _OTHER = "cast((p_partkey + case when p_partkey % 6 = 4 then 1 else 2 end) % n as string)"
