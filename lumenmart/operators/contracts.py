@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lumenmart.functions import text
 from lumenmart.operators.decision import defect_invalid, defects_or_empty
@@ -37,6 +37,31 @@ def header(columns: Sequence[str], expected: Sequence[str], exact_order: bool =
     return found
 
 
+def header_violations(spark: SparkSession, path: str, table: str, expected: Sequence[str], exact_order: bool = False) -> DataFrame:
+    """Violation rows of the header line of every CSV file below ``path``: row_key is the file, value its header.
+
+    The same rules as ``header``; an empty file has no column at all. Only the first block of a file is looked
+    at, and of its lines one is carried per task.
+    """
+    content = spark.read.text(path)
+    # the listing and the scan write the slashes after the scheme differently
+    named = lambda name: F.regexp_replace(name, "^(\\w+):/+", "$1:/").alias("file")
+    lines = content.where("_metadata.file_block_start = 0").select(named(F.col("_metadata.file_path")), "value", F.monotonically_increasing_id().alias("line"))
+    first = lines.groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    # scans skip files without a byte, so the names come from the listing
+    files = spark.createDataFrame([(name,) for name in content.inputFiles()], "name string").select(named(F.col("name")))
+    cells = F.transform(F.split(F.regexp_replace("header", "^\ufeff", ""), ","), lambda cell: F.trim(F.regexp_replace(cell, '"', "")))
+    rows = files.join(first, "file", "left").withColumn("header", F.coalesce("header", F.lit(""))).withColumn(
+        "columns", F.filter(cells, lambda cell: cell != "")).withColumn("expected", F.array(*[F.lit(name) for name in expected]))
+    told = lambda names, rule: F.transform(names, lambda name: F.struct(name.alias("field"), F.lit(rule).alias("rule")))
+    wrong = F.concat(told(F.array_except("expected", "columns"), "missing column"), told(F.array_except("columns", "expected"), "unknown column"))
+    if exact_order:
+        misplaced = (F.size(wrong) == 0) & (F.col("columns") != F.col("expected"))
+        wrong = F.when(misplaced, told(F.slice("columns", 1, 1), "column order")).otherwise(wrong)
+    return rows.select(F.lit(table).alias("table"), F.col("file").alias("row_key"), F.explode(wrong).alias("v"), F.col("header").alias("value")).select(
+        "table", "row_key", "v.field", "v.rule", "value")
+
+
 def required(field: str) -> Column:
     return check(field, "required", F.coalesce(F.trim(F.col(field).cast("string")), F.lit("")) == "")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lumenmart.functions import text
 from lumenmart import session
-from lumenmart.operators import health, listings
+from lumenmart.operators import contracts, health, listings
 from lumenmart.plans import derived
 from lumenmart.plans.derived import DUCK_HEALTH
 from lumenmart.plans.ingest_queries import (
@@ -174,6 +174,27 @@ def catalog_scan(tables: Tables) -> DataFrame:
     return scans.load_products(tables.spark, folder).select("product_id", "model", "version", "release_year", "price_used")
 
 
+# Headers of the files of five kinds, and what is wrong with each.
+_HEADERS = ("custkey,name,balance", "custkey,balance", "custkey,name,balance,color", "name,custkey,balance", "\ufeff custkey, \"name\" ,balance")
+_HEADER_FAULTS = "(1, 'name', 'missing column'), (2, 'color', 'unknown column'), (3, 'name', 'column order')"
+
+
+@query(
+    "header_contract",
+    f"select distinct c_nationkey as nation, field, rule from customer join (values {_HEADER_FAULTS}) faults(kind, field, rule) on c_nationkey % 5 = kind",
+)
+def header_contract(tables: Tables) -> DataFrame:
+    """Customers written as one CSV file per nation, with headers of five kinds; what each header lacks."""
+    folder = work_folder(tables, "headers")
+    rows = tables.customer.select("c_nationkey", F.lit(1).alias("place"), F.concat_ws(",", "c_custkey", "c_name", F.col("c_acctbal").cast("string")).alias("value"))
+    kinds = F.element_at(F.array(*[F.lit(h) for h in _HEADERS]), (F.col("c_nationkey") % len(_HEADERS) + 1).cast("int"))
+    heads = tables.customer.select("c_nationkey").distinct().select("c_nationkey", F.lit(0).alias("place"), kinds.alias("value"))
+    lines = rows.unionByName(heads).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "place")
+    lines.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(folder)
+    found = contracts.header_violations(tables.spark, folder, "customers", ("custkey", "name", "balance"), exact_order=True)
+    return found.select(F.regexp_extract("row_key", "c_nationkey=(\\d+)", 1).cast("int").alias("nation"), "field", "rule")
+
+
 _ROWS_PER_FEED = 50
 
 

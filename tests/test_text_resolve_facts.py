@@ -206,3 +206,12 @@ def test_fuzzy_matches_equal_a_scan_of_all_products(spark):
             if best >= 0.82:
                 expected[body, key] = best
     assert expected and found == pytest.approx(expected)
+
+
+def test_headers_of_files(spark, tmp_path):
+    from lumenmart.operators import contracts
+    for name, text in (("good", "a,b\n1,2\n"), ("swapped", "b,a\n"), ("short", "a\n"), ("odd", '"a", b ,c\n'), ("empty", "")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    found = {(r.row_key.rsplit("/", 1)[1], r.field, r.rule) for r in contracts.header_violations(spark, str(tmp_path), "t", ["a", "b"], True).collect()}
+    assert found == {("swapped.csv", "b", "column order"), ("short.csv", "b", "missing column"), ("odd.csv", "c", "unknown column"),
+                     ("empty.csv", "a", "missing column"), ("empty.csv", "b", "missing column")}
