@@ -215,3 +215,32 @@ def test_headers_of_files(spark, tmp_path):
     found = {(r.row_key.rsplit("/", 1)[1], r.field, r.rule) for r in contracts.header_violations(spark, str(tmp_path), "t", ["a", "b"], True).collect()}
     assert found == {("swapped.csv", "b", "column order"), ("short.csv", "b", "missing column"), ("odd.csv", "c", "unknown column"),
                      ("empty.csv", "a", "missing column"), ("empty.csv", "b", "missing column")}
+
+
+def test_similarity_equals_the_block_ratio(spark):
+    import random
+    from difflib import SequenceMatcher
+    from lumenmart.functions.similarity import may_reach, similarity
+
+    draw = random.Random(7)
+    pick = lambda longest: "".join(draw.choice("ab cde1é") for _ in range(draw.randint(0, longest)))
+    pairs = [("", ""), ("", "a"), ("abc", "abc"), ("aaaa", "aa"), ("abxcd", "abcd"), ("red widget", "widget red")]
+    for _ in range(150):
+        left, right = pick(20), []
+        for letter in left:
+            kind = draw.random()
+            right += [] if kind < 0.08 else [pick(1), letter] if kind < 0.16 else [letter]
+        pairs += [(left, "".join(right)), (left, pick(20))]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(
+        "a", "b", similarity(F.col("a"), F.col("b")).alias("ratio"), may_reach(F.col("a"), F.col("b"), 0.82).alias("may")).collect()
+    for row in rows:
+        assert row.ratio == pytest.approx(SequenceMatcher(None, row.a, row.b).ratio(), abs=1e-12), row
+        assert row.may or row.ratio < 0.82, row
+    assert any(not row.may for row in rows)
+
+
+def test_fuzzy_matching_stays_out_of_python(spark):
+    frame = spark.createDataFrame([("t", "brand 17 red vidget")], "text_id string, normalized string").withColumn("tokens", resolve.product_words(F.col("normalized")))
+    catalog = spark.createDataFrame([("p", "Brand 17", "red widget", "")], "product_id string, brand string, model string, version string")
+    plan = resolve.fuzzy_matches(frame, catalog)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
