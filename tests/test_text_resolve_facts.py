@@ -244,3 +244,30 @@ def test_fuzzy_matching_stays_out_of_python(spark):
     catalog = spark.createDataFrame([("p", "Brand 17", "red widget", "")], "product_id string, brand string, model string, version string")
     plan = resolve.fuzzy_matches(frame, catalog)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_entries_that_begin_alike_are_indexed_apart(spark):
+    names = [f"sony alpha camera body {i:03d} series kit" for i in range(120)] + ["sony", "sony alpha", "kit"]
+    index, sizes = phrases.needle_index(spark.createDataFrame([(n,) for n in names * 2], "needle string"))
+    assert index.count() == len(names) and sizes == [3, 4, 8]
+    assert index.groupBy("key").count().agg(F.max("count")).first()[0] <= 2
+    by_words, _ = phrases.phrase_index(spark.createDataFrame([(n,) for n in names], "phrase string"))
+    assert by_words.groupBy("key").count().agg(F.max("count")).first()[0] == 1
+
+    bodies = [f"my {n} for sale, {m}" for n, m in zip(names, reversed(names))] + ["", "sony alpha camera body", "xkity", "sonyalpha"]
+    texts = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
+    needles = spark.createDataFrame([(n, i) for i, n in enumerate(names + names[:3] + [""])], "needle string, number int")
+    found = {(r.id, r.entry.number) for r in phrases.contained_needles(texts, "id", "body", needles).collect()}
+    assert found == {(t, i) for t, body in enumerate(bodies) for i, n in enumerate(names + names[:3]) if n in body}
+
+    worded = phrases.with_words(texts, "body")
+    entries = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "phrase string, number int")
+    hits = {(r.id, h.entry.number) for r in phrases.phrase_hits(worded, "id", entries).collect() for h in r.hits}
+    plain = [f" {' '.join(body.replace(',', ' ').split())} " for body in bodies]
+    assert hits == {(t, i) for t, body in enumerate(plain) for i, n in enumerate(names) if f" {n} " in body}
+
+
+def test_no_needles_and_no_phrases(spark):
+    texts = phrases.with_words(spark.createDataFrame([(1, "some text")], "id int, body string"), "body")
+    assert phrases.contained_needles(texts, "id", "body", spark.createDataFrame([], "needle string, n int")).count() == 0
+    assert phrases.phrase_hits(texts, "id", spark.createDataFrame([("",)], "phrase string")).count() == 0
