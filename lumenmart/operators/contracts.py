@@ -187,6 +187,52 @@ def source_config(mapping: str = "mapping") -> list[Column]:
     ]
 
 
+# Keys of a configured source.
+SOURCE_KEYS = (
+    "source_id", "name", "source_type", "endpoint", "enabled", "country", "currency", "segment", "request_timeout_seconds",
+    "retry_count", "minimum_request_interval_seconds", "mapping", "notes",
+)
+
+
+def object_keys(element: str, expected: Sequence[str]) -> Column:
+    """array<struct<field,rule,value>> of a JSON text: no object, or its missing and unknown keys in name order."""
+    keys, wanted = F.json_object_keys(F.col(element)), F.array(*[F.lit(name) for name in expected])
+    told = lambda names, rule: F.transform(F.array_sort(names), lambda name: F.struct(
+        name.alias("field"), F.lit(rule).alias("rule"), F.lit(None).cast("string").alias("value")))
+    no_object = F.array(F.struct(F.lit("").alias("field"), F.lit("not an object").alias("rule"), F.left(F.col(element), F.lit(80)).alias("value")))
+    return F.when(keys.isNull(), no_object).otherwise(F.concat(
+        told(F.array_except(wanted, keys), "missing key"), told(F.array_except(keys, wanted), "unknown key")))
+
+
+def source_file_violations(spark: SparkSession, path: str) -> DataFrame:
+    """Violation rows of JSON source files; row_key is the file, "#" and the record's number from 1 (0: the file itself).
+
+    A file must be an object with a ``sources`` array and nothing else, a source an object with exactly the known
+    keys, a ``mapping`` object, valid domains and an id no earlier source of the file has. A missing or null field
+    breaks no rule on its value. Files are spread over tasks; only ids and places are shuffled.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    listed = F.get_json_object("value", "$.sources")
+    is_list = F.coalesce(F.ltrim(listed).startswith("["), F.lit(False))
+    no_list = F.when(~is_list & F.array_contains(F.json_object_keys("value"), "sources"), F.array(F.struct(
+        F.lit("sources").alias("field"), F.lit("not an array").alias("rule"), F.left(listed, F.lit(80)).alias("value"))))
+    roots = files.select(F.concat("file", F.lit("#0")).alias("row_key"), F.inline(
+        F.concat(object_keys("value", ("sources",)), F.coalesce(no_list, F.array().cast("array<struct<field:string,rule:string,value:string>>")))))
+    elements = files.where(is_list).select("file", F.posexplode(F.from_json(listed, "array<string>")).alias("place", "element")).withColumn(
+        "row_key", F.concat("file", F.lit("#"), (F.col("place") + 1).cast("string")))
+    # a mapping that is no object would make the whole record unreadable, so it is read by itself
+    texts = ("source_id", "source_type", "country", "currency", "segment")
+    parsed = elements.withColumns({name: F.get_json_object("element", f"$.{name}") for name in texts}).withColumn("given", F.get_json_object("element", "$.mapping"))
+    parsed = parsed.withColumn("mapping", F.when(F.ltrim("given").startswith("{"), F.from_json("given", "map<string,string>")))
+    checks = [*source_config(), check("mapping", "not an object", F.col("given").isNotNull() & F.col("mapping").isNull(), F.left("given", F.lit(80)))]
+    broken = parsed.select("row_key", F.inline(F.concat(object_keys("element", SOURCE_KEYS), F.when(
+        F.json_object_keys("element").isNotNull(), F.array_compact(F.array(*checks))).otherwise(F.array().cast("array<struct<field:string,rule:string,value:string>>")))))
+    earlier = Window.partitionBy("file", "source_id").orderBy("place")
+    repeated = parsed.where("source_id is not null").select("row_key", "source_id", F.row_number().over(earlier).alias("time")).where("time > 1").select(
+        "row_key", F.lit("source_id").alias("field"), F.lit("repeated id").alias("rule"), F.col("source_id").alias("value"))
+    return roots.unionByName(broken).unionByName(repeated).select(F.lit("sources").alias("table"), "row_key", "field", "rule", "value")
+
+
 def price_format(field: str = "price_extraction") -> list[Column]:
     """Checks of a price format, a map<string,string> of short literal parts; no free patterns."""
     keys, parts = F.map_keys(F.col(field)), F.map_values(F.col(field))

@@ -198,6 +198,39 @@ def header_contract(tables: Tables) -> DataFrame:
 _ROWS_PER_FEED = 50
 
 
+@query(
+    "source_contract",
+    f"""with sources as (select s_suppkey as k, s_suppkey // {_ROWS_PER_FEED} as document, row_number() over (partition by s_suppkey // {_ROWS_PER_FEED} order by s_suppkey) as record,
+  case when s_suppkey % 7 = 6 then s_suppkey - 1 else s_suppkey end as id from supplier),
+faults as (select *, row_number() over (partition by document, id order by k) as time from sources)
+select document, record, field, rule, value from faults join (values (1, 'notes', 'missing key', null), (1, 'name', 'missing key', null), (2, 'colour', 'unknown key', null),
+  (3, 'segment', 'domain', 'OLD'), (4, 'mapping', 'unknown mapping key', 'price_regex'), (5, 'source_type', 'domain', 'FTP')) f(kind, field, rule, value) on k % 7 = kind
+union all select document, record, 'source_id', 'repeated id', concat('S', id) from faults where time > 1
+union all select distinct document, 0, 'version', 'unknown key', null from sources where document % 2 = 1""",
+)
+def source_contract(tables: Tables) -> DataFrame:
+    """Suppliers written as JSON source files with faults of every kind; what the strict reader finds."""
+    folder = work_folder(tables, "sources")
+    kind, key = F.col("s_suppkey") % 7, F.col("s_suppkey")
+    unless = lambda fault, value: F.when(kind != fault, value)
+    mapping = F.when(kind == 4, F.create_map(F.lit("title"), F.lit("t"), F.lit("price_regex"), F.lit("x"))).otherwise(F.create_map(F.lit("title"), F.lit("t")))
+    source = F.struct(
+        F.concat(F.lit("S"), F.when(kind == 6, key - 1).otherwise(key).cast("string")).alias("source_id"), unless(1, F.col("s_name")).alias("name"),
+        F.when(kind == 5, "FTP").otherwise("JSON_FEED").alias("source_type"), F.lit("https://shop.example/feed").alias("endpoint"), F.lit(True).alias("enabled"),
+        F.lit("IT").alias("country"), F.lit("EUR").alias("currency"), F.when(kind == 3, "OLD").otherwise("USED").alias("segment"),
+        F.lit(10.0).alias("request_timeout_seconds"), F.lit(2).alias("retry_count"), F.lit(1.0).alias("minimum_request_interval_seconds"),
+        mapping.alias("mapping"), unless(1, F.lit("")).alias("notes"), F.when(kind == 2, "red").alias("colour"))
+    # at most _ROWS_PER_FEED sources share a document
+    by_key = lambda left, right: (left["k"] - right["k"]).cast("int")
+    listed = F.array_sort(F.collect_list(F.struct(key.alias("k"), source.alias("s"))), by_key)
+    documents = tables.supplier.groupBy(F.floor(key / _ROWS_PER_FEED).alias("document")).agg(listed.alias("sorted"))
+    content = F.to_json(F.struct(F.transform("sorted", lambda item: item["s"]).alias("sources"), F.when(F.col("document") % 2 == 1, 1).alias("version")))
+    documents.select("document", content.alias("value")).write.partitionBy("document").text(folder)
+    place = lambda pattern: F.regexp_extract("row_key", pattern, 1).cast("long")
+    return contracts.source_file_violations(tables.spark, folder).select(
+        place("document=(\\d+)").alias("document"), place("#(\\d+)$").alias("record"), "field", "rule", "value")
+
+
 @query(
     "json_feed_scan",
     "select cast(page_id as varchar) as external_id, url, cast(page_id * 10 as varchar) as price from pages",

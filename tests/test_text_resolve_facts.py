@@ -271,3 +271,23 @@ def test_no_needles_and_no_phrases(spark):
     texts = phrases.with_words(spark.createDataFrame([(1, "some text")], "id int, body string"), "body")
     assert phrases.contained_needles(texts, "id", "body", spark.createDataFrame([], "needle string, n int")).count() == 0
     assert phrases.phrase_hits(texts, "id", spark.createDataFrame([("",)], "phrase string")).count() == 0
+
+
+def test_strict_source_files(spark, tmp_path):
+    import json
+    from lumenmart.operators import contracts
+    good = {name: "x" for name in contracts.SOURCE_KEYS} | {"source_type": "JSON_FEED", "segment": "NEW", "country": "IT", "currency": "EUR", "mapping": {"price_extraction": {"currency_code": "EUR"}}}
+    files = {
+        "good": json.dumps({"sources": [good, good | {"source_id": "y"}]}, indent=1), "empty_list": '{"sources": []}', "array": "[]", "broken": '{"sources": [',
+        "no_list": '{"sources": {"a": 1}, "more": 2}',
+        "bad": json.dumps({"sources": [3, good, good, {k: v for k, v in good.items() if k != "notes"} | {"source_id": "z", "Notes": ""},
+                                       good | {"source_id": "w", "mapping": [1], "country": "it"}]}),
+    }
+    for name, body in files.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    found = {(r.row_key.rsplit("/", 1)[1], r.field, r.rule) for r in contracts.source_file_violations(spark, str(tmp_path)).collect()}
+    assert found == {
+        ("array.json#0", "", "not an object"), ("broken.json#0", "", "not an object"), ("no_list.json#0", "more", "unknown key"), ("no_list.json#0", "sources", "not an array"),
+        ("bad.json#1", "", "not an object"), ("bad.json#3", "source_id", "repeated id"), ("bad.json#4", "notes", "missing key"), ("bad.json#4", "Notes", "unknown key"),
+        ("bad.json#5", "mapping", "not an object"), ("bad.json#5", "country", "two capitals"),
+    }
