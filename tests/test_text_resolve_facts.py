@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenmart.functions import text
 from lumenmart.operators import contracts, facts, intents, phrases, resolve
+from lumenmart.operators.fact_patterns import Pattern
 from tests.builders import day
 
 CATALOG = [
@@ -291,3 +292,15 @@ def test_strict_source_files(spark, tmp_path):
         ("bad.json#1", "", "not an object"), ("bad.json#3", "source_id", "repeated id"), ("bad.json#4", "notes", "missing key"), ("bad.json#4", "Notes", "unknown key"),
         ("bad.json#5", "mapping", "not an object"), ("bad.json#5", "country", "two capitals"),
     }
+
+
+def test_fact_rows_equal_python_matches(spark):
+    texts = ["no match", "", "12 and 3456, 78\u00017890 \U0001f4f7 55", "a\u0001b 1", "\u0001", "7" * 5000 + " x " + "é1 " * 300, None]
+    table = [Pattern("digits", "number", r"\d+", 80), Pattern("word", "word", r"[a-z]+\b", 70)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {(r.id, r.name, r.start_position, r.end_position, r.source_text) for r in facts.fact_rows(frame, "id", F.col("t"), table).collect()}
+    want = {
+        (i, p.name, m.start(), m.end(), m.group())
+        for i, t in enumerate(texts) for p in table for m in re.finditer(p.expression, t or "", re.I)
+    }
+    assert got == want
