@@ -7,8 +7,10 @@ following what is still due, so that all draws together meet every target. The j
 takes block perm(j mod blocks), with another pseudorandom permutation in each pass over the source,
 hence no block is used more often than there are passes.
 
-Only one number per source and per group of shards exists on the driver. Start offsets come from
-running totals over bounded chunks of documents, so a source with a third of all rows is split.
+The driver holds one row of numbers, the slots of each source. Tasks split it level by level, each time
+into at most `FAN_OUT` ranges of shards, until a range is one shard; every draw is seeded by its range.
+Start offsets come from running totals over bounded chunks of documents, in two levels, so a source with
+a third of all rows is split.
 """
 
 from __future__ import annotations
@@ -28,8 +30,13 @@ WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
-SHARDS_PER_GROUP = 16
+#: Ranges into which a range of shards is split at a time.
+FAN_OUT = 32
+RANGES_PER_TASK = 16
 CHUNK_ROWS = 4096
+#: Chunks whose totals are added up together.
+CHUNKS_TOGETHER = 4096
+MOST_TASKS = 4096
 #: A table of sources up to this many rows is broadcast.
 FEW_SOURCES = 100_000
 SEED = 20_240_607
@@ -79,12 +86,15 @@ def _small(frame: DataFrame, rows: int) -> DataFrame:
 
 
 def _placed(sized: DataFrame) -> DataFrame:
-    """Running total of the sizes inside each source: first inside chunks, then over chunk totals."""
+    """Running total of the sizes inside each source: inside chunks, over the totals of a batch of chunks, over batches."""
     chunks = max(1, sized.count() // CHUNK_ROWS)
     rows = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(chunks)))
     inside = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "text_key", "size")
-    before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("source_no", "chunk").agg(F.sum("size").alias("total")).select("source_no", "chunk", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    totals = rows.groupBy("source_no", "chunk").agg(F.sum("size").alias("total")).withColumn("batch", F.floor(F.col("chunk") / CHUNKS_TOGETHER))
+    before = lambda keys, order: F.coalesce(F.sum("total").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    batches = totals.groupBy("source_no", "batch").agg(F.sum("total").alias("total")).select("source_no", "batch", before(["source_no"], "batch").alias("earlier"))
+    bases = totals.withColumn("base", before(["source_no", "batch"], "chunk")).join(batches, ["source_no", "batch"]).select(
+        "source_no", "chunk", (F.col("base") + F.col("earlier")).alias("base"))
     return (
         rows.withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .join(bases, ["source_no", "chunk"])
@@ -92,37 +102,49 @@ def _placed(sized: DataFrame) -> DataFrame:
     )
 
 
+def _split(shards_in_child: int, shard_slots: int, seed: int):
+    """Split ranges of shards: first shard, slots of each source, and how many of its slots earlier ranges took."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for first, counts, done in zip(part["first"], part["counts"], part["done"], strict=True):
+                due, at, first = np.array(counts, dtype=np.int64), np.array(done, dtype=np.int64), int(first)
+                rng = np.random.default_rng([seed, shards_in_child, first])
+                while left := int(due.sum()):
+                    counts = drawn(due, min(shards_in_child * shard_slots, left), rng)
+                    yield pd.DataFrame({"first": [first], "counts": [counts.tolist()], "done": [at.tolist()]})
+                    due, at, first = due - counts, at + counts, first + shards_in_child
+
+    return run
+
+
 def _slots(spark, quota: np.ndarray, blocks: np.ndarray, shard_slots: int, seed: int) -> DataFrame:
-    """Slots of all shards. The driver draws per group of shards, tasks draw the shards of a group."""
-    rng, due, groups, done, per_group = np.random.default_rng(seed), quota.copy(), [], np.zeros_like(quota), shard_slots * SHARDS_PER_GROUP
-    while due.sum():
-        counts = drawn(due, int(min(per_group, due.sum())), rng)
-        groups.append((len(groups), counts.tolist(), done.tolist()))
-        done, due = done + counts, due - counts
-    lists = "group long, counts array<long>, done array<long>"
+    """Slots of all shards: tasks draw the ranges of shards down to single shards, then each shard's blocks and their order."""
+    ranges = "first long, counts array<long>, done array<long>"
+    shards = -(-int(quota.sum()) // shard_slots)
+    frame = spark.createDataFrame([(0, quota.tolist(), [0] * len(quota))] if shards else [], ranges)
+    size = 1
+    while size < shards:
+        size *= FAN_OUT
+    while size > 1:
+        size //= FAN_OUT
+        tasks = -(-shards // (size * RANGES_PER_TASK))
+        frame = frame.mapInPandas(_split(size, shard_slots, seed), ranges).repartition(min(tasks, MOST_TASKS), "first")
     blocks_of = blocks.tolist()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for group, counts, done_ in zip(part["group"], part["counts"], part["done"], strict=True):
-                left, at = np.array(counts, dtype=np.int64), np.array(done_, dtype=np.int64)
-                shard = int(group) * SHARDS_PER_GROUP
-                while left.sum():
-                    draw = np.random.default_rng([seed, 1, shard])
-                    taken = drawn(left, int(min(shard_slots, left.sum())), draw)
-                    chosen = []
-                    for number in np.flatnonzero(taken):
-                        slot, size = at[number] + np.arange(taken[number]), blocks_of[number]
-                        for turn in np.unique(slot // size):
-                            index = permute(slot[slot // size == turn] % size, size, (seed * 1_000_003 + int(number)) * 31 + int(turn))
-                            chosen.append((np.full(len(index), number), index))
-                    numbers, index = (np.concatenate(c) for c in zip(*chosen, strict=True))
-                    order = draw.permutation(len(index))
-                    yield pd.DataFrame({"shard": shard, "position": np.arange(len(index)), "source_no": numbers[order], "block": index[order]})
-                    left, at, shard = left - taken, at + taken, shard + 1
-
-    frame = spark.createDataFrame(groups, lists)
-    return frame.repartition(max(1, len(groups)), "group").mapInPandas(run, "shard long, position long, source_no long, block long")
+            for shard, counts, done in zip(part["first"], part["counts"], part["done"], strict=True):
+                chosen = []
+                for number in np.flatnonzero(counts):
+                    slot, many = int(done[number]) + np.arange(int(counts[number])), blocks_of[number]
+                    for turn in np.unique(slot // many):
+                        index = permute(slot[slot // many == turn] % many, many, (seed * 1_000_003 + int(number)) * 31 + int(turn))
+                        chosen.append((np.full(len(index), number), index))
+                numbers, index = (np.concatenate(c) for c in zip(*chosen, strict=True))
+                order = np.random.default_rng([seed, 0, int(shard)]).permutation(len(index))
+                yield pd.DataFrame({"shard": int(shard), "position": np.arange(len(index)), "source_no": numbers[order], "block": index[order]})
+
+    return frame.mapInPandas(run, "shard long, position long, source_no long, block long")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> Mixture:
@@ -149,23 +171,39 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_PASSES, block_words:
     return Mixture(_small(sources, len(found)), stage(_placed(numbered)), slots, copies, block_words)
 
 
-def _pieces(mixture: Mixture) -> DataFrame:
-    """Every overlap of a document with a block: word range inside the document, copies taken."""
+def _parts(mixture: Mixture) -> DataFrame:
+    """Every overlap of a document with a block: word range inside the document."""
     width = F.lit(mixture.block_words)
     first, last = F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("size") - 1) / width)
     parts = mixture.placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     low, high = F.greatest(F.col("block") * width, F.col("start")), F.least((F.col("block") + 1) * width, F.col("start") + F.col("size"))
-    return parts.join(mixture.copies, ["source_no", "block"], "left").select(
-        "doc_id", "text_key", "source", "source_no", "size", "start",
-        (low - F.col("start")).alias("low"), (high - F.col("start")).alias("high"), F.coalesce("copies", F.lit(0)).alias("copies"),
-    )
+    return parts.select("*", (low - F.col("start")).alias("low"), (high - F.col("start")).alias("high"))
+
+
+def _pieces(mixture: Mixture) -> DataFrame:
+    """The same overlaps with the number of copies taken."""
+    return _parts(mixture).join(mixture.copies, ["source_no", "block"], "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+
+
+def joined_blocks(mixture: Mixture) -> DataFrame:
+    """The mixture as places in documents: every slot joined by index with the document pieces of its block.
+
+    Columns shard, position, source_no, block, doc_id, text_key, size, start and the word range low, high.
+    """
+    return mixture.slots.join(_parts(mixture).drop("source"), ["source_no", "block"])
 
 
 def taken_words(mixture: Mixture) -> DataFrame:
-    """Per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted), source."""
-    sums = _pieces(mixture).groupBy("doc_id", "source_no", "size", "start").agg(F.sum((F.col("high") - F.col("low")) * F.col("copies")).alias("taken"))
-    none = mixture.placed.where("size = 0").select("doc_id", "source_no", "size", "start", F.lit(0).cast("long").alias("taken"))
-    return sums.unionByName(none).join(mixture.sources, "source_no").select("doc_id", "size", "source_size", "target", "taken", "source")
+    """Per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted), source.
+
+    Counted on the joined blocks. Where a document starts in its source's stream tells it from all others
+    that have words; documents without words take none.
+    """
+    keys = ["source_no", "start"]
+    words = joined_blocks(mixture).groupBy(*keys).agg(F.sum(F.col("high") - F.col("low")).alias("words"))
+    placed = mixture.placed.select("doc_id", "size", *keys)
+    found = placed.where("size > 0").join(words, keys, "left").unionByName(placed.where("size = 0"), allowMissingColumns=True)
+    return found.join(mixture.sources, "source_no").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "source")
 
 
 def _cut(text: str, words: list[tuple[int, int]], low: int, high: int) -> str:
@@ -232,7 +270,7 @@ def mixed_blocks(docs: DataFrame, mixture: Mixture) -> DataFrame:
         return pd.Series([_cut(t, [m.span() for m in _WORD.finditer(t)], lo, hi) for t, lo, hi in zip(text, low, high, strict=True)])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"])
-    pieces = _pieces(mixture).where("copies > 0").withColumn("block", F.floor((F.col("start") + F.col("low")) / F.lit(mixture.block_words)))
+    pieces = _pieces(mixture).where("copies > 0")
     bodies = (
         fold(pieces, texts, ["doc_id", "text_key"], "inner")
         .select("source_no", "block", F.struct((F.col("start") + F.col("low")).alias("at"), slice_("text", "low", "high").alias("text")).alias("piece"))

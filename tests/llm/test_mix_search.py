@@ -73,6 +73,39 @@ def test_mixture_as_documents_and_blocks(spark, rows):
     assert sorted((b.shard, b.position) for b in blocks) == [(k // 64, k % 64) for k in range(len(blocks))]
 
 
+def test_many_sources_and_shards(spark):
+    rows = [(i, "a b c d e f g " * (1 + i % 3), f"s{i % 1500}") for i in range(6000)]
+    plan = mixing.mix(mixed_docs(spark, rows), block_words=2, shard_slots=32)
+    slots = plan.slots.toPandas()
+    quota = {r.source_no: r.slots for r in plan.sources.collect()}
+    assert slots.groupby("source_no").size().to_dict() == {k: v for k, v in quota.items() if v}
+    assert slots.shard.nunique() > mixing.FAN_OUT**2 / 2 and sorted(zip(slots.shard, slots.position, strict=True)) == [(k // 32, k % 32) for k in range(len(slots))]
+    # a block returns only after all others of its source were taken as often
+    uses = slots.groupby(["source_no", "block"]).size()
+    blocks = {r.source_no: r.blocks for r in plan.sources.collect()}
+    for number, used in uses.groupby("source_no"):
+        assert used.max() - (used.min() if len(used) == blocks[number] else 0) <= 1
+    by_source = collections.Counter()
+    for r in mixing.taken_words(plan).collect():
+        assert 0 <= r.taken <= 3 * r.size
+        by_source[r.source] += r.taken
+    goal = {r.source: r.target for r in plan.sources.collect()}
+    assert all(abs(by_source[s] - goal[s]) <= 3 for s in goal)
+
+
+def test_chunks_of_a_hot_source_are_added_up(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(mixing, "CHUNKS_TOGETHER", 5)
+    rows = [(i, "x " * (i % 7), "hot" if i % 3 else "other") for i in range(400)]
+    placed = mixing.mix(mixed_docs(spark, rows), block_words=4, shard_slots=16).placed.where("size > 0").collect()
+    for number in (0, 1):
+        at = 0
+        for start, size in sorted((r.start, r["size"]) for r in placed if r.source_no == number):
+            assert start == at
+            at += size
+        assert at == sum(i % 7 for i in range(400) if (i % 3 == 0) == (number == 1))
+
+
 def test_whole_copies_keep_their_text():
     assert mixing.cut_copies(" a  b c ", [(0, 2, 2), (2, 3, 1)]) == [" a  b c ", "a  b"]
     assert mixing.cut_copies("a b c", [(0, 1, 1), (1, 2, 0), (2, 3, 1)]) == ["a\nc"]
