@@ -140,3 +140,14 @@ def test_expiry_by_timer_revival_and_late_rows(spark, tmp_path):
     assert rows["a"] == (day(-2), day(1), False) and rows["d"] == (day(0), day(0), False) and rows["b"][1:] == (day(4), True)
     rows = step(("a", day(20)))
     assert rows["a"] == (day(-2), day(20), True) and rows["b"][2] is False and rows["c"][2] is True
+
+
+def test_sightings_are_rounded_to_milliseconds(spark, tmp_path):
+    feed, log = str(tmp_path / "feed"), str(tmp_path / "log")
+    near = START + timedelta(seconds=7, microseconds=999_500)
+    files(spark, feed, "duplicate_key string, seen_at timestamp", [("a", near), ("a", near - timedelta(microseconds=1)), ("b", near - timedelta(microseconds=1))])
+    stateful.reduce_sightings(stream(spark, feed, "duplicate_key string, seen_at timestamp"), log, str(tmp_path / "cp"))
+    rows = {r.duplicate_key: (r.first, r.last, r.clock) for r in spark.read.parquet(log).select(
+        "duplicate_key", F.timestamp_millis("first_ms").alias("first"), F.timestamp_millis("last_ms").alias("last"), "clock").collect()}
+    ms = lambda n: START + timedelta(milliseconds=n)
+    assert rows == {"a": (ms(7999), ms(8000), ms(8000)), "b": (ms(7999), ms(7999), ms(8000))}
