@@ -158,3 +158,11 @@ def test_history_golden(spark, days, median, confidence, column, expected):
     past = history(spark, (NOW - timedelta(days=days), median, confidence))
     value = asof.with_history(current, past, ["product_id", "currency", "segment"]).first()[column]
     assert value == (pytest.approx(expected) if expected is not None else None)
+
+
+def test_only_shared_rule_keys_go_on(spark):
+    """A listing that shares nothing, and one that is only present twice, leave before ids and whole keys are shuffled."""
+    alone = {"listing_id": "alone", "title": "other", "price": 7.0}
+    rows = [{"listing_id": "a", "url": "u"}, {"listing_id": "b", "url": "U ", "title": "x", "price": 5.0}, alone, alone]
+    keys = dedupe.rule_keys(listings(spark, *rows), ["product_id"])
+    assert {r.listing_id for r in dedupe.shared_keys(keys).collect()} == {"a", "b"} and dedupe.shared_keys(keys).count() == 2
