@@ -128,3 +128,16 @@ def test_break_even_equals_search(spark):
 def test_repeated_defects_count_once(spark):
     twice = [defect("dust", "minor", "Some  Dust"), defect("dust", "minor", "some dust")]
     assert len(listings(spark, {"defects": twice}).select(ownership.distinct_defects().alias("d")).first().d) == 1
+
+
+def test_offers_are_valued_in_the_row(spark):
+    """Looked-up values equal the joined ones, for listings that are present twice as well; no offer is shuffled for a small price table."""
+    rows = [{"listing_id": "a", "accessories": ["Sony original battery"] * 3 + ["strap", "strap", None]}, {"listing_id": "b", "accessories": None},
+            {"listing_id": "c", "accessories": ["strap", "sony original  battery"]}, {"listing_id": "c", "accessories": ["Sony original battery"]}]
+    prices = spark.createDataFrame([("sony  ORIGINAL battery", 60.0), ("Sony original battery", 1.0), ("bag", None)], "name string, price double")
+    frame = listings(spark, *rows)
+    columns = ["listing_id", "accessory_reference", "unvalued_accessories"]
+    want = sorted((r[0], r[1] or 0.0, r[2] or 0) for r in frame.join(ownership.accessory_values(frame, prices), "listing_id", "left").select(columns).collect())
+    valued = ownership.with_accessory_values(frame, prices)
+    assert sorted(tuple(r) for r in valued.select(columns).collect()) == want
+    assert "Exchange hashpartitioning" not in valued._jdf.queryExecution().executedPlan().toString()
