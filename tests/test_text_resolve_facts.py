@@ -304,3 +304,37 @@ def test_fact_rows_equal_python_matches(spark):
         for i, t in enumerate(texts) for p in table for m in re.finditer(p.expression, t or "", re.I)
     }
     assert got == want
+
+
+def test_repeated_texts_are_read_once_with_the_same_facts(spark):
+    cases = [
+        (1, "Camera", "a7", "20k scatti, con fattura"), (2, "Camera", "a7", "20k scatti, con fattura"), (3, "Lens", "a7", "20k scatti, con fattura"),
+        (4, None, None, None), (5, "", "", ""), (6, "Camera", "ab", "c"), (7, "Camera", "a", "bc"), (8, "Lens", "x\u0001", "graffi sulla lente posteriore"),
+    ]
+    rows = spark.createDataFrame(cases, "id int, category string, title string, description string")
+    names = ("x_shutter_count", "x_invoice_available", "x_defects", "x_missing", "x_confidence")
+    as_of = F.lit("2026-08-01").cast("date")
+    once = facts.analyze_once(rows, as_of, names)
+    assert sorted(map(repr, once.select("id", *names).collect())) == sorted(map(repr, facts.analyze(rows, as_of).select("id", *names).collect()))
+    assert "Deduplicate" in once._jdf.queryExecution().analyzed().toString()
+
+
+def test_companion_words_lose_no_match(spark):
+    found = [
+        "shutter count: 500", "garanzia fino al 1/2/2027", "warranty until 3/4/2028", "ancora 6 mesi di garanzia", "remaining two months warranty", "acquistata due mesi fa con garanzia italiana",
+        "fattura presente", "con fattura", "ricevuta disponibile", "scontrino disponibile", "Invoice included", "proof of purchase", "senza fattura", "fattura smarrita", "no receipt",
+        "scatola originale", "confezione originale", "imballo originale", "original box", "complete packaging", "senza scatola", "scatola non inclusa", "no original box", "pari al nuovo",
+        "usata pochissimo", "perfettamente funzionante", "nessun difetto", "nessun graffio", "senza graffi", "no scratches", "senza funghi", "nessun fungo", "no fungus", "lente frontale crepata",
+        "elemento frontale incrinato", "cracked front glass", "graffi evidenti sulla lente frontale", "deep scratches on front element", "graffio sulla lente posteriore", "scratch on the rear element",
+        "presenta graffi", "has scratches", "lente frontale danneggiata", "damaged front element", "elemento posteriore danneggiato", "damaged rear element", "lieve polvere interna", "light internal dust",
+        "display rotto", "schermo danneggiato", "display broken", "schermo damaged", "piccolo graffio sulla scocca", "small graffio sulla body", "2 Sony NP-FZ100 batterie", "due patona batteries",
+        *[f"Rode VM2 {item}" for item in "charger,caricatore,grip,cage,filter,filtro,bag,borsa,strap,tracolla,microphone,microfono,monitor,flash,gimbal,memory card,scheda di memoria,lens hood,paraluce,adapter,adattatore".split(",")],
+    ]
+    patterns = [p for group in (facts.P.SHUTTER, facts.P.CLAIMS, facts.P.NEGATED, facts.P.DEFECTS, facts.P.ACCESSORIES) for p in group] + [
+        value for name, value in vars(facts.P).items() if isinstance(value, Pattern)]
+    frame = spark.createDataFrame(list(enumerate(found)), "id int, t string")
+    cut = lambda *rest: F.transform(facts.cuts(F.col("t"), patterns, *rest), lambda c: F.coalesce(F.size(c["pieces"]), F.lit(1)) > 1)
+    got = frame.select("id", cut().alias("all"), cut(F.lower("t"), F.lit(False)).alias("quick")).collect()
+    assert all(any(r["all"]) for r in got) and [r.id for r in got if r["all"] != r["quick"]] == []
+    seen = {p.name for r in got for p, hit in zip(patterns, r["all"]) if hit}
+    assert set(facts.P.COMPANIONS) <= seen and len({p.name for p in patterns} - set(facts.P.KEYWORDS)) == 0
