@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lumenmart.functions.text import digest
 from lumenmart.operators import facts, health, listings, resolve
 from lumenmart.operators.decision import DEFECT_ARRAY
 from lumenmart.session import stage
@@ -31,23 +32,23 @@ class Run:
     outcomes: DataFrame
 
 
-def recognized(rows: DataFrame, catalog: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Rows with product_id, recognition_confidence, ambiguous, warnings; every distinct text is recognized once."""
-    keyed = rows.withColumn("text_id", F.sha2(F.concat_ws("\u0001", "title", "description"), 256))
-    texts = stage(keyed.groupBy("text_id").agg(F.min("title").alias("title"), F.min("description").alias("description")))
-    _, chosen = resolve.recognize(texts.withColumnRenamed("text_id", "listing_id"), catalog, aliases)
-    found = chosen.select(F.col("listing_id").alias("text_id"), "product_id", "recognition_confidence", "ambiguous", F.col("warnings").alias("found_warnings"))
-    return keyed.join(found, "text_id").withColumnRenamed("found_warnings", "warnings")
-
+def recognized(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, as_of: Column) -> DataFrame:
+    """Rows with product_id, recognition_confidence, ambiguous, warnings and the facts of the whole, still unredacted text laid over them.
 
-def with_facts(rows: DataFrame, catalog: DataFrame, as_of: Column) -> DataFrame:
-    """Facts of the whole, still unredacted text laid over the listing, and how many there are."""
+    Every distinct text is recognized and read once; what was found meets the rows in one join.
+    """
     for name, kind in FACT_COLUMNS.items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    known = rows.join(catalog.select("product_id", "category"), "product_id", "left")
-    laid = facts.overlay(facts.analyze(known, as_of))
-    return laid.withColumn("evidence_count", listings.evidence_count()).drop(*[c for c in laid.columns if c.startswith("x_")], "category")
+    read = {name: F.coalesce(F.col(name), F.lit("")) for name in ("title", "description")}
+    keyed = rows.withColumn("text_id", digest(*read.values()))
+    texts = stage(keyed.select("text_id", *[value.alias(name) for name, value in read.items()]).distinct())
+    _, chosen = resolve.recognize(texts.withColumnRenamed("text_id", "listing_id"), catalog, aliases)
+    known = chosen.join(catalog.select("product_id", "category"), "product_id", "left").withColumnRenamed("listing_id", "text_id").join(texts, "text_id")
+    found = facts.analyze(known, as_of).select(
+        F.col("text_id").alias("found_id"), "product_id", "recognition_confidence", "ambiguous", "warnings", *facts.LAID)
+    laid = facts.overlay(keyed.drop("warnings").join(stage(found), F.col("text_id") == F.col("found_id")))
+    return laid.withColumn("evidence_count", listings.evidence_count()).drop("text_id", "found_id", *facts.LAID)
 
 
 def run(
@@ -63,7 +64,7 @@ def run(
     fetched = records.join(chosen.select("source_id"), "source_id", "left_semi")
     normal, errors = listings.normalize(fetched, chosen, now)
     rows = stage(normal.withColumn("listing_id", F.col("duplicate_key")).withColumn("source", F.col("source_id")))
-    found = stage(with_facts(recognized(rows, catalog, aliases), catalog, F.to_date(now)))
+    found = stage(recognized(rows, catalog, aliases, F.to_date(now)))
     text = F.concat_ws("\n", "title", "description")
     wanted = listings.watch_pairs(found, watches, text).select("listing_id").distinct()
     judged = stage(listings.relevance(found, wanted))

@@ -58,3 +58,14 @@ def test_stream_equals_batch_on_shuffled_files(spark, parts, tmp_path):
     columns = [c for c in batch.columns]
     streamed = jobs.live_table(spark, str(tmp_path / "out")).select(*columns)
     assert sorted(map(repr, streamed.collect())) == sorted(map(repr, batch.collect()))
+
+
+def test_repeated_texts_are_recognized_and_read_once(spark, parts, monkeypatch):
+    read = []
+    analyze = ingest.facts.analyze
+    monkeypatch.setattr(ingest.facts, "analyze", lambda rows, as_of: read.append(rows.count()) or analyze(rows, as_of))
+    repeated = [record(n, description="shutter count: 5000") for n in range(20, 26)] + [record(30, title="ab", description="c", source_id="S0"), record(31, title="a", description="bc", source_id="S0")]
+    done = ingest.run(spark.createDataFrame(repeated, FIELDS), *parts, None, F.lit("2001-06-30").cast("timestamp"))
+    assert read == [3]  # distinct texts, not records
+    assert sorted((r.external_id, r.title, r.shutter_count) for r in done.live.collect()) == sorted(
+        [(str(n), "Offer prod1", 5000) for n in range(20, 26)] + [("30", "ab", None), ("31", "a", None)])
