@@ -338,3 +338,13 @@ def test_companion_words_lose_no_match(spark):
     assert [found[r.id] for r in got if not any(r["all"])] == [] and [found[r.id] for r in got if r["all"] != r["quick"]] == [] and [r.id for r in got if r["all"] != r["quick"]] == []
     seen = {p.name for r in got for p, hit in zip(patterns, r["all"]) if hit}
     assert set(facts.P.COMPANIONS) <= seen and len({p.name for p in patterns} - set(facts.P.KEYWORDS)) == 0
+
+
+def test_recognition_works_out_words_and_spellings_once(spark, monkeypatch):
+    staged, stage = [], resolve.stage
+    monkeypatch.setattr(resolve, "stage", lambda frame: staged.append(set(frame.columns)) or stage(frame))
+    listings = spark.createDataFrame([("x", "Sony A7 IV", "corpo")], "listing_id string, title string, description string")
+    catalog = spark.createDataFrame(CATALOG, "product_id string, category string, brand string, model string, version string, native_mount string")
+    _, chosen = resolve.recognize(listings, catalog, spark.createDataFrame(ALIASES, "alias string, product_id string"))
+    assert chosen.first().product_id == "sony-a7-iv"
+    assert sum("raw_words" in columns for columns in staged) == 1 and sum({"phrase", "label"} <= columns for columns in staged) == 1
