@@ -32,17 +32,42 @@ def title_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
 
 
+def _rules(scope: Sequence[str]) -> dict[str, list[Column]]:
+    """The parts of each rule's key; listings agree in a rule where all parts are equal, missing ones included."""
+    scoped = [F.col(name) for name in scope]
+    return {
+        "url": [*scoped, _folded(F.col("url"))],
+        "title": [*scoped, title_key(F.col("title")), F.col("price"), _folded(F.col("source"))],
+        "place": [*scoped, F.col("price"), _folded(F.col("location")), _folded(F.col("seller"))],
+    }
+
+
+def sharing(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """The listings that share a rule's parts with another one, and a few more where hashes collide.
+
+    Most listings stand alone. They are told by fixed-width hashes of the raw parts, which combine before the
+    shuffle, so whole keys are built for the rest only.
+    """
+    short = {name: F.xxhash64(F.lit(name), *parts) for name, parts in _rules(scope).items()}
+    hashes = F.array_compact(F.array(
+        F.when(_folded(F.col("url")) != "", short["url"]), short["title"], F.when(F.col("observed_at").isNotNull(), short["place"])))
+    columns = list(dict.fromkeys([*scope, "listing_id", "url", "title", "price", "source", "location", "seller", "observed_at"]))
+    spans = listings.select(F.xxhash64("listing_id").alias("listing"), F.explode(hashes).alias("short")).groupBy("short").agg(
+        F.min("listing").alias("lowest"), F.max("listing").alias("highest"))
+    shared = stage(spans.where("lowest <> highest").select("short"))
+    found = listings.select(*columns, F.explode(hashes).alias("short")).join(broadcast_if_small(shared), "short", "left_semi")
+    return found.select(*columns).distinct()
+
+
 def rule_keys(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
     """(listing_id, key, micros): every rule key a listing belongs to; micros is set for the 30-day rule only."""
-    scoped = [F.col(name) for name in scope]
+    rules = _rules(scope)
     micros = F.unix_micros(F.col("observed_at").cast("timestamp"))
-    url = _folded(F.col("url"))
     timeless = lambda key: F.struct(key.alias("key"), F.lit(None).cast("long").alias("micros"))
-    place = _key("place", *scoped, F.col("price"), _folded(F.col("location")), _folded(F.col("seller")))
     keys = F.array_compact(F.array(
-        F.when(url != "", timeless(_key("url", *scoped, url))),
-        timeless(_key("title", *scoped, title_key(F.col("title")), F.col("price"), _folded(F.col("source")))),
-        F.when(micros.isNotNull(), F.struct(place.alias("key"), micros.alias("micros"))),
+        F.when(_folded(F.col("url")) != "", timeless(_key("url", *rules["url"]))),
+        timeless(_key("title", *rules["title"])),
+        F.when(micros.isNotNull(), F.struct(_key("place", *rules["place"]).alias("key"), micros.alias("micros"))),
     ))
     return listings.select("listing_id", F.explode(keys).alias("k")).select("listing_id", "k.key", "k.micros")
 
@@ -121,7 +146,7 @@ def connected_keys(edges: DataFrame) -> DataFrame:
 
 def duplicate_groups(listings: DataFrame, scope: Sequence[str]) -> DataFrame:
     """(listing_id, component) of every listing that has at least one duplicate."""
-    candidates = stage(shared_keys(rule_keys(listings, scope)))
+    candidates = stage(shared_keys(rule_keys(stage(sharing(listings, scope)), scope)))
     # a listing that is present twice is no duplicate of itself
     links = memberships(candidates).distinct()
     shared = links.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")

@@ -21,6 +21,8 @@ MARKET_COLUMNS = (
     "listing_id", "url", "title", "source", "seller", "location", "price", "source_country", "observed_at", "evidence_count",
     "landed_cost_estimate", "statistical_price", "listing_quality", "excluded_reason", "foreign_without_landed",
 )
+# what is still read of a listing once its duplicates are known
+ACCOUNT_COLUMNS = ("source_country", "observed_at", "listing_quality", "statistical_price", "excluded_reason", "foreign_without_landed")
 
 
 def clamp(value: Column, low: int = 0, high: int = 100) -> Column:
@@ -125,30 +127,34 @@ def confidence_score(valid, total, outliers, eligible, quality_average, days) ->
     return clamp(half_even(raw))
 
 
-def accounting(rows: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
-    """Sample counts, quality, confidence inputs and countries per group."""
+def accounting(rows: DataFrame, keys: Sequence[str], **latest: Column) -> DataFrame:
+    """Sample counts, quality, confidence inputs and countries per group; ``latest``: maxima of columns by name.
+
+    Listings are added up per group, country and day first, by aggregates of fixed width; sets are collected of the sums.
+    """
     included = F.col("excluded_reason").isNull()
     outlier = F.col("excluded_reason") == "OUTLIER"
-    summary = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sample_size"),
-        F.count_if(included).alias("included_rows"),
-        F.count_if(F.coalesce(outlier, F.lit(False))).alias("outlier_count"),
-        F.avg("listing_quality").alias("listing_quality_average"),
-        F.array_sort(F.collect_set("source_country")).alias("source_countries"),
-        F.max(F.col("foreign_without_landed").cast("int")).alias("foreign_gap"),
-        *extra,
+    sums = rows.groupBy(*keys, "source_country", F.to_date("observed_at").alias("day")).agg(
+        F.count(F.lit(1)).alias("listings"),
+        F.count_if(included).alias("included"),
+        F.count_if(F.coalesce(outlier, F.lit(False))).alias("outliers"),
+        F.sum("listing_quality").alias("quality"),
+        F.count("listing_quality").alias("rated"),
+        F.max(F.col("foreign_without_landed").cast("int")).alias("foreign"),
+        *[column.alias(name) for name, column in latest.items()],
     )
-    days = (
-        rows.where(included)
-        .select(*keys, F.to_date("observed_at").alias("day"))
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.count("day").alias("distinct_days"))
+    summary = sums.groupBy(*keys).agg(
+        F.sum("listings").alias("sample_size"),
+        F.sum("included").alias("included_rows"),
+        F.sum("outliers").alias("outlier_count"),
+        F.try_divide(F.sum("quality"), F.sum("rated")).alias("listing_quality_average"),
+        F.array_sort(F.collect_set("source_country")).alias("source_countries"),
+        F.max("foreign").alias("foreign_gap"),
+        F.size(F.collect_set(F.when(F.col("included") > 0, F.col("day")))).cast("long").alias("distinct_days"),
+        *[F.max(name).alias(name) for name in latest],
     )
     return (
-        summary.join(days, list(keys), "left")
-        .withColumn("distinct_days", F.coalesce("distinct_days", F.lit(0)))
-        .withColumn(
+        summary.withColumn(
             "market_confidence",
             confidence_score(
                 F.col("included_rows"), F.col("sample_size"), F.col("outlier_count"),
@@ -168,22 +174,22 @@ def clean(rows: DataFrame, scope: Sequence[str], keys: Sequence[str]) -> tuple[D
     """Duplicates then outliers. Returns (marked rows, ranked prices, fences).
 
     Each stage feeds several branches, so it is written once; only the columns the
-    market needs are kept.
+    market needs are kept, and fewer of them once duplicates are marked.
     """
     slim = rows.select(*dict.fromkeys([*scope, *keys, *MARKET_COLUMNS]))
-    deduped = stage(mark_duplicates(stage(slim), scope))
+    deduped = stage(mark_duplicates(stage(slim), scope).select(*dict.fromkeys([*keys, *ACCOUNT_COLUMNS])))
     ranked = stage(distribution.ranked_values(deduped.where("excluded_reason is null"), keys, "statistical_price"))
     fences = stage(distribution.iqr_fences(ranked, keys))
     return mark_outliers(deduped, fences, keys), ranked, fences
 
 
 def snapshots(rows: DataFrame, keys: Sequence[str], created_at: Column) -> DataFrame:
-    """One market snapshot per group; ``rows`` come from ``with_observation``."""
+    """One market snapshot per group; ``rows`` come from ``with_observation``, ``created_at`` is the maximum of a column."""
     keys = list(keys)
     marked, ranked, fences = clean(rows, keys, keys)
     statistics = distribution.price_statistics(distribution.drop_outliers(ranked, fences, keys), keys)
     return (
-        accounting(marked, keys, created_at.alias("created_at"))
+        accounting(marked, keys, created_at=created_at)
         .join(statistics, keys, "left")
         .withColumn("valid_sample_size", F.coalesce("valid_sample_size", F.lit(0)))
     )

@@ -166,3 +166,22 @@ def test_only_shared_rule_keys_go_on(spark):
     rows = [{"listing_id": "a", "url": "u"}, {"listing_id": "b", "url": "U ", "title": "x", "price": 5.0}, alone, alone]
     keys = dedupe.rule_keys(listings(spark, *rows), ["product_id"])
     assert {r.listing_id for r in dedupe.shared_keys(keys).collect()} == {"a", "b"} and dedupe.shared_keys(keys).count() == 2
+
+
+def test_lone_listings_build_no_whole_keys(spark):
+    """Hashes of the raw parts leave only listings that share a rule; a missing price equals a missing price."""
+    alone = {"listing_id": "alone", "title": "other", "price": 7.0, "seller": "z"}
+    rows = [{"listing_id": "a", "url": "u", "price": None, "title": "q"}, {"listing_id": "b", "price": None, "title": "Q!", "seller": "y"}, alone, alone]
+    frame = listings(spark, *rows)
+    found = dedupe.sharing(frame, ["product_id"])
+    assert sorted(r.listing_id for r in found.collect()) == ["a", "b"]
+    assert {r.listing_id for r in dedupe.duplicate_groups(frame, ["product_id"]).collect()} == {"a", "b"}
+
+
+def test_days_of_a_market_without_currency(spark):
+    """Groups with a missing key keep their days, as in SQL; no aggregate of sets reads single listings."""
+    base = [{"currency": None, "observed_at": datetime(2025, 1, day), "title": str(day), "price": float(day)} for day in (1, 2, 2, 3)]
+    rows = listings(spark, *base).withColumns({
+        "listing_quality": F.lit(80), "excluded_reason": F.when(F.col("price") == 3.0, "OUTLIER"), "foreign_without_landed": F.lit(False)})
+    row = market.accounting(rows, ["product_id", "currency"]).first()
+    assert (row.sample_size, row.included_rows, row.outlier_count, row.distinct_days, row.listing_quality_average) == (4, 3, 1, 2, 80.0)
