@@ -94,8 +94,9 @@ def trimmed_mean(tables: Tables) -> DataFrame:
 )
 def iqr_outliers(tables: Tables) -> DataFrame:
     """Included rows outside the quartile fences of their product and segment."""
-    rows = observed_rows(tables)
-    ranked = distribution.ranked_values(rows.where("excluded_reason is null"), PRODUCT_SEGMENT, "statistical_price")
+    # only an included row can turn out an outlier; the rows are read twice, so they are written once
+    rows = stage(observed_rows(tables).where("excluded_reason is null").select("listing_id", *PRODUCT_SEGMENT, "statistical_price", "excluded_reason"))
+    ranked = distribution.ranked_values(rows, PRODUCT_SEGMENT, "statistical_price")
     marked = market.mark_outliers(rows, distribution.iqr_fences(ranked, PRODUCT_SEGMENT), PRODUCT_SEGMENT)
     return marked.where("excluded_reason = 'OUTLIER'").select("listing_id", *PRODUCT_SEGMENT, *rounded("statistical_price"))
 

@@ -185,3 +185,12 @@ def test_days_of_a_market_without_currency(spark):
         "listing_quality": F.lit(80), "excluded_reason": F.when(F.col("price") == 3.0, "OUTLIER"), "foreign_without_landed": F.lit(False)})
     row = market.accounting(rows, ["product_id", "currency"]).first()
     assert (row.sample_size, row.included_rows, row.outlier_count, row.distinct_days, row.listing_quality_average) == (4, 3, 1, 2, 80.0)
+
+
+@pytest.mark.parametrize("name", ["iqr_outliers", "market_confidence"])
+def test_outlier_rows_are_written_once(spark, name):
+    """What ranks the prices and what is marked by them read staged rows, not the base tables twice."""
+    import __spark_entry__ as contract
+
+    files = contract.queries()[name](spark, contract.SMOKE_DIR).inputFiles()
+    assert files and not any("lineitem" in file for file in files)
