@@ -141,3 +141,11 @@ def test_offers_are_valued_in_the_row(spark):
     valued = ownership.with_accessory_values(frame, prices)
     assert sorted(tuple(r) for r in valued.select(columns).collect()) == want
     assert "Exchange hashpartitioning" not in valued._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_reasons_works_factors_out_once(spark):
+    """No filter on the finished names is pushed below them, where it would build all factors a second time."""
+    import __spark_entry__ as contract
+
+    frame = contract.queries()["top_reasons"](spark, contract.SMOKE_DIR)
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("array_join(") == 1
