@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lumenmart.session import stage
+
 SLOT_SECONDS = 3600
 # Problem types and their severity rank.
 SEVERITY_RANK = {"warning": 1, "error": 2, "critical": 3}
@@ -124,7 +126,8 @@ def incident_lives(told: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFra
     healthy or opens another incident; met by its number, so no window spans a source.
     """
     marked = _starts(told, slot_seconds).withColumn("ends", F.col("starts") | (F.col("kind") == ""))
-    numbered = number_along(number_along(marked, "starts", "incident_no"), "ends", "end_no")
+    # read three times below
+    numbered = stage(number_along(number_along(marked, "starts", "incident_no"), "ends", "end_no"))
     closing = numbered.where("ends").select("source_id", (F.col("end_no") - 1).alias("end_no"), F.col("checked_at").alias("resolved_at"))
     failed = F.when(F.col("failure.failed_at").isNotNull(), F.col("failure"))
     found = numbered.where("kind <> ''").groupBy("source_id", "incident_no").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from lumenmart.functions import text
@@ -36,11 +38,16 @@ def stream_upsert(tables: Tables) -> DataFrame:
     return upsert_view(table.read())
 
 
-def shuffled_events(tables: Tables, files: int) -> DataFrame:
-    """The event feed as a stream of files that mix all times, one file per micro-batch."""
+#: Micro-batches of more bytes come in several files, so that several tasks read them.
+FEED_FILE_BYTES = 8 << 20
+
+
+def shuffled_events(tables: Tables, batches: int) -> DataFrame:
+    """The event feed as a stream of files that mix all times, in a given number of micro-batches."""
     folder = work_folder(tables, "feed")
-    tables.events.repartition(files, F.xxhash64("event_id")).write.parquet(folder)
-    return jobs.read_feed(tables.spark, folder, tables.events.schema, files_per_batch=1)
+    files = max(1, math.ceil(session.plan_bytes(tables.events) / (batches * FEED_FILE_BYTES)))
+    tables.events.repartition(batches * files, F.xxhash64("event_id")).write.parquet(folder)
+    return jobs.read_feed(tables.spark, folder, tables.events.schema, files_per_batch=files)
 
 
 @query(
@@ -77,7 +84,7 @@ select source_id, arg_max(status, row(checked_at, event_id)) as status, count(*)
 from (select *, max(block) over (partition by source_id) as last_block from h) group by source_id""",
 )
 def stream_health(tables: Tables) -> DataFrame:
-    """Status, failure streak and last success of every source, kept as keyed state over files in mixed order."""
+    """Status, failure streak and last success of every source, kept by time slot over files in mixed order."""
     rows = stateful.source_state(tables.shared("slot_checks", slot_checks))
     return rows.select("source_id", "status", "consecutive_failures", F.date_format("last_success_at", "yyyy-MM-dd HH:mm:ss").alias("last_success"), "checks")
 
@@ -96,7 +103,7 @@ select source_id, cast(incident_no as bigint) as incident_no, strftime(occurred_
 from lives join closed using (source_id, incident_no) where begins""",
 )
 def stream_incident_lives(tables: Tables) -> DataFrame:
-    """Incidents with resolution and each source's latest repair proposal, from keyed state over files in mixed order."""
+    """Incidents with resolution and each source's latest repair proposal, kept by time slot over files in mixed order."""
     rows = stateful.incident_lifecycle(tables.shared("slot_checks", slot_checks))
     stamp = lambda name: F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
     return rows.select(

@@ -151,3 +151,35 @@ def test_sightings_are_rounded_to_milliseconds(spark, tmp_path):
         "duplicate_key", F.timestamp_millis("first_ms").alias("first"), F.timestamp_millis("last_ms").alias("last"), "clock").collect()}
     ms = lambda n: START + timedelta(milliseconds=n)
     assert rows == {"a": (ms(7999), ms(8000), ms(8000)), "b": (ms(7999), ms(7999), ms(8000))}
+
+
+def summary_in_order(checks):
+    """A slot's summary as one process that sees its checks in time order: (checks, last, last success, trailing failures, telling)."""
+    telling, top, trailing, success = [], 0, 0, None
+    for at, check_id, status, kind, rank in checks:
+        if not telling or telling[-1][3] != kind or (kind and (rank or 0) > top):
+            top = rank or 0
+            telling.append([at, check_id, status, kind, rank, 0, None, None])
+        telling[-1][5] += 1
+        if status == "FAILED":
+            telling[-1][6:] = [at, check_id]
+            trailing += 1
+        else:
+            trailing, success = 0, at
+    return (len(checks), *checks[-1][:3], success, trailing, [tuple(row) for row in telling])
+
+
+def test_slot_summaries_without_python_workers(spark):
+    rng = random.Random(9)
+    rows = []
+    for number in range(400):
+        kind = rng.choice(("", "timeout", "timeout", "network"))
+        status = None if number % 31 == 0 else "HEALTHY" if kind == "" else rng.choice(("FAILED", "DEGRADED"))
+        rows.append((rng.choice("ab"), rng.randrange(9), rng.randrange(40), number, status, kind, rng.choice((None, 1, 2, 3))))
+    rows += [("all", 0, n, 1000 + n, "FAILED", "timeout", 2) for n in range(3)]
+    want = {}
+    for source, slot, *check in rows:
+        want.setdefault((source, slot), []).append(tuple(check))
+    found = stateful.slot_summaries(spark.createDataFrame(rows, "source_id string, slot long, at long, check_id long, status string, kind string, severity_rank int"))
+    got = {(r.source_id, r.slot): (r.checks, r.last_at, r.last_id, r.last_status, r.last_success_at, r.trailing_failures, [tuple(t) for t in r.telling]) for r in found.collect()}
+    assert got == {key: summary_in_order(sorted(checks, key=lambda c: c[:2])) for key, checks in want.items()}
