@@ -348,3 +348,19 @@ def test_recognition_works_out_words_and_spellings_once(spark, monkeypatch):
     _, chosen = resolve.recognize(listings, catalog, spark.createDataFrame(ALIASES, "alias string, product_id string"))
     assert chosen.first().product_id == "sony-a7-iv"
     assert sum("raw_words" in columns for columns in staged) == 1 and sum({"phrase", "label"} <= columns for columns in staged) == 1
+
+
+def test_unmatched_terms_reads_each_title_once(spark, monkeypatch):
+    from lumenmart.plans import resolve_queries
+    from lumenmart.plans.registry import Tables
+
+    given, read = [], resolve.unmatched_terms
+    monkeypatch.setattr(resolve, "unmatched_terms", lambda listings, *more: given.append(listings) or read(listings, *more))
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    counts = {r.term: r.listings for r in resolve_queries.unmatched_terms(tables).collect()}
+    titles = resolve_queries.titled(tables)
+    (texts,) = given
+    assert texts.count() == titles.select("title").distinct().count() < titles.count()
+    per_listing = read(titles, tables.part.select(F.col("p_brand").alias("brand")))
+    assert set(counts) <= {r.term for r in per_listing.select("term").distinct().collect()}
+    assert 0 < sum(counts.values()) <= titles.count()
