@@ -8,6 +8,7 @@ from lumenmart.operators import health, listings, notify
 from lumenmart.plans import derived
 from lumenmart.plans.derived import DUCK_HEALTH, OBS_SQL, WATCH_SQL
 from lumenmart.plans.registry import Tables, query
+from lumenmart.session import stage
 
 NEW_SINCE = "2000-01-01"
 STALE_AT = "2001-06-30"
@@ -54,9 +55,11 @@ def price_alerts(tables: Tables) -> DataFrame:
     """Alerts of listings new since a date that were not sent before."""
     observed = derived.observations(tables).withColumn("active", F.lit(True)).withColumn("warnings", F.array().cast("array<string>"))
     known = observed.where(F.col("observed_at") < F.lit(NEW_SINCE).cast("timestamp_ntz"))
-    fresh = listings.new_since(observed, known)
+    # read by both kinds of watches, by the alerts and by what was sent: joined once, in the columns they read
+    fresh = stage(listings.new_since(observed, known).select(
+        "listing_id", "source", "product_id", "title", "segment", "price", "currency", "recognition_confidence", "description_confidence", "active", "warnings"))
     pairs = listings.watch_pairs(fresh, all_watches(tables), F.col("title"))
-    candidates = notify.listing_alerts(fresh, pairs, notify.Preference(high_confidence_match=True))
+    candidates = stage(notify.listing_alerts(fresh, pairs, notify.Preference(high_confidence_match=True)))
     sent = candidates.join(fresh.where("segment = 'NEW'").select("listing_id"), "listing_id", "left_semi").where(
         "notification_type = 'NEW_MATCH'").select("deduplication_key")
     return notify.fresh(candidates, sent).select("listing_id", "notification_type", "severity", "deduplication_key")

@@ -228,3 +228,13 @@ def test_source_type_and_price_format_rules(spark):
     assert sorted((r.row_key, r.field, r.rule) for r in found.collect()) == [
         ("b", "source_type", "domain"), ("c", "country", "two capitals"), ("c", "currency", "three capitals"), ("c", "price_extraction", "part over 20 characters"),
         ("c", "price_extraction", "unknown price key"), ("c", "segment", "domain"), ("c", "source_type", "domain"), ("d", "price_extraction", "missing price key")]
+
+
+def test_price_alerts_join_the_observations_once(spark):
+    from lumenmart.plans import ingest_queries
+    from lumenmart.plans.registry import Tables
+
+    alerts = ingest_queries.price_alerts(Tables(spark, "/root/testdata/sf0.001"))
+    # what is left to run reads staged tables, not the given ones
+    assert not any("testdata" in path for path in alerts.inputFiles())
+    assert alerts.select("deduplication_key").distinct().count() == alerts.count() > 0
