@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +33,8 @@ SEED = 77_003
 HEADER = "<qqI"
 HEADER_BYTES = struct.calcsize(HEADER)
 NO_ID = -(1 << 63)
+# Name of the separator in the encoder, which cannot search for no special token at all.
+SEPARATOR = "<|separator|>"
 
 
 def stride(sequence: int = SEQUENCE) -> int:
@@ -57,9 +58,13 @@ class Ranks:
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in self._sent.value.splitlines() if line)}
-            _ENCODINGS[self.key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _ENCODINGS[self.key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={SEPARATOR: self.separator})
         return _ENCODINGS[self.key]
 
+    def ids(self, text: str | None) -> np.ndarray:
+        """Ids of a text (null: none), without a Python number for each; the separator's name in a text is text like any other."""
+        return self.encoding.encode_to_numpy(text or "", disallowed_special=())
+
     def __getstate__(self):
         return {"separator": self.separator, "_sent": self._sent, "key": self.key}
 
@@ -69,9 +74,10 @@ _ENCODINGS: dict[str, object] = {}
 
 def token_ids(ranks: Ranks, text: str | None) -> np.ndarray:
     """Ids of a text (null: none) and the separator."""
-    ids = ranks.encoding.encode_ordinary(text or "")
-    ids.append(ranks.separator)
-    return np.frombuffer(array("H", ids), "<u2")
+    ids = ranks.ids(text)
+    out = np.empty(len(ids) + 1, "<u2")
+    out[:-1], out[-1] = ids, ranks.separator
+    return out
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -84,7 +90,7 @@ def split_counts(docs: DataFrame, ranks: Ranks) -> dict[int, int]:
         count = 0
         for part in parts:
             for text in part.column(1).to_pylist():
-                count += len(ranks.encoding.encode_ordinary(text or "")) + 1
+                count += len(ranks.ids(text)) + 1
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([count], pa.int64())], names=["split", "tokens"])
 
     return {r.split: r.tokens for r in _rows(docs).mapInArrow(run, "split int, tokens long").collect()}

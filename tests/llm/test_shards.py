@@ -49,3 +49,11 @@ def test_beginning_documents(spark):
 def test_nothing_to_write(spark):
     table = written(spark, frame(spark, []))
     assert table.count() == 0 and shards.read_shards(table).count() == 0
+
+
+def test_ids_come_as_arrays_and_equal_plain_encoding(spark):
+    ranks = shards.Ranks(spark, RANKS)
+    for text in (None, "", "one two", f"a {shards.SEPARATOR} b{shards.SEPARATOR}", shards.SEPARATOR * 3, "é日\U0001f600 \n\n x\x00", "x" * 500, " \t\r\n "):
+        found = ranks.ids(text)
+        assert isinstance(found, np.ndarray) and found.tolist() == ranks.encoding.encode_ordinary(text or "")
+        assert shards.token_ids(ranks, text).tolist() == [*found.tolist(), ranks.separator]
