@@ -32,7 +32,7 @@ class Run:
     outcomes: DataFrame
 
 
-def recognized(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, as_of: Column) -> DataFrame:
+def recognized(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, as_of: Column, known: resolve.Known | None = None) -> DataFrame:
     """Rows with product_id, recognition_confidence, ambiguous, warnings and the facts of the whole, still unredacted text laid over them.
 
     Every distinct text is recognized and read once; what was found meets the rows in one join.
@@ -43,9 +43,9 @@ def recognized(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, as_of: C
     read = {name: F.coalesce(F.col(name), F.lit("")) for name in ("title", "description")}
     keyed = rows.withColumn("text_id", digest(*read.values()))
     texts = stage(keyed.select("text_id", *[value.alias(name) for name, value in read.items()]).distinct())
-    _, chosen = resolve.recognize(texts.withColumnRenamed("text_id", "listing_id"), catalog, aliases)
-    known = chosen.join(catalog.select("product_id", "category"), "product_id", "left").withColumnRenamed("listing_id", "text_id").join(texts, "text_id")
-    found = facts.analyze(known, as_of).select(
+    _, chosen = resolve.recognize(texts.withColumnRenamed("text_id", "listing_id"), catalog, aliases, known)
+    placed = chosen.join(catalog.select("product_id", "category"), "product_id", "left").withColumnRenamed("listing_id", "text_id").join(texts, "text_id")
+    found = facts.analyze(placed, as_of).select(
         F.col("text_id").alias("found_id"), "product_id", "recognition_confidence", "ambiguous", "warnings", *facts.LAID)
     laid = facts.overlay(keyed.drop("warnings").join(stage(found), F.col("text_id") == F.col("found_id")))
     return laid.withColumn("evidence_count", listings.evidence_count()).drop("text_id", "found_id", *facts.LAID)
@@ -53,21 +53,22 @@ def recognized(rows: DataFrame, catalog: DataFrame, aliases: DataFrame, as_of: C
 
 def run(
     records: DataFrame, sources: DataFrame, catalog: DataFrame, aliases: DataFrame, watches: DataFrame, stored: DataFrame | None,
-    now: Column, requested: list[str] | None = None,
+    now: Column, requested: list[str] | None = None, known: resolve.Known | None = None,
 ) -> Run:
     """Normalize, recognize, read facts, match watches, filter, redact, key, merge; nothing is dropped without an outcome.
 
     ``records`` has source_id and the feed fields as text. Facts are read before personal data goes, keys are
-    made after. The same function serves a stored folder and the batch of a stream.
+    made after. The same function serves a stored folder and the batch of a stream. ``known``: the catalog's facts, where they are there already.
     """
     chosen = listings.enabled_sources(sources, requested)
     fetched = records.join(chosen.select("source_id"), "source_id", "left_semi")
     normal, errors = listings.normalize(fetched, chosen, now)
     rows = stage(normal.withColumn("listing_id", F.col("duplicate_key")).withColumn("source", F.col("source_id")))
-    found = stage(recognized(rows, catalog, aliases, F.to_date(now)))
+    found = stage(recognized(rows, catalog, aliases, F.to_date(now), known))
     text = F.concat_ws("\n", "title", "description")
-    wanted = listings.watch_pairs(found, watches, text).select("listing_id").distinct()
-    judged = stage(listings.relevance(found, wanted))
+    wanted = stage(listings.watch_pairs(found, watches, text).select("listing_id").distinct())
+    # not written: stored rows are made of it at once, outcomes read two of its columns
+    judged = listings.relevance(found, wanted)
     kept = listings.with_keys(listings.without_private_data(judged.where("relevant")))
     batch = stage(listings.collapse(kept.select("duplicate_key", *LIVE), "detected_at", "raw_record_reference").select(
         "duplicate_key", F.col("duplicate_key").alias("listing_id"), "first_seen_at", "last_seen_at", *LIVE))
