@@ -175,7 +175,7 @@ def recognition_scores(tables: Tables) -> DataFrame:
     size = tables.part.count()
     category = F.when(F.col("p_partkey") % 2 == 0, "Camera").otherwise("Lens")
     products = product_catalog(tables).drop("category").withColumn("p_partkey", F.substring("product_id", 5, 18).cast("long")).withColumn("category", category).drop("p_partkey")
-    texts = tables.part.select("p_partkey", F.lit(size).alias("n")).selectExpr(f"{_ID} as listing_id", f"{_TITLE} as title", f"{_DESCRIPTION} as description")
+    texts = tables.wide("part").select("p_partkey", F.lit(size).alias("n")).selectExpr(f"{_ID} as listing_id", f"{_TITLE} as title", f"{_DESCRIPTION} as description")
     ranked, chosen = resolve.recognize(texts, products, tables.spark.createDataFrame([], "product_id string, alias string"))
     places = ranked.groupBy("listing_id").agg(F.max("place").alias("candidates"))
     return chosen.join(places, "listing_id", "left").select(
